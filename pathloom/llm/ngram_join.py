@@ -15,10 +15,11 @@ How it holds at scale
   counts over all documents; at most 2**20 shingles of 32 bits are broadcast,
   because the limit rises with the number of occurrences.
 * Posted shingles travel as packed arrays; those of a single set end there.
-* First every set is compared with one representative of each posting list
+* First sets are compared with one representative of their posting lists
   (linear), and links are joined into components. The exact join that follows
-  pairs only sets of different components, within size and position bounds, so
-  a group of near copies never becomes all of its pairs.
+  pairs only sets of different components, so a group of near copies never
+  becomes all of its pairs. It counts shared prefix shingles and discards pairs
+  whose count plus what lies behind the prefix stays below the bound.
 * Joins on hot keys are plain equi-joins, which AQE splits.
 
 Defined results: null or empty texts, and texts without a word, have
@@ -41,7 +42,8 @@ from .store import cut, drop
 BUCKETS = 1024  # of 22 bits each, for counting 32-bit shingle prefixes
 MIN_FREQUENT = 48
 MAX_FREQUENT = 1 << 20
-POSTING = np.dtype([("sh", "<u4"), ("fp", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+POSTING = np.dtype([("sh", "<u4"), ("fp", "<u8"), ("n", "<u4"), ("last", "<u4")])
+COMPARED = 64  # in longer lists every posting counts as having a possible partner
 PER_BLOCK = 400_000
 LOW_40 = np.uint64((1 << 40) - 1)
 
@@ -145,10 +147,15 @@ def _post(k: int, num: int, den: int, frequent: np.ndarray, bits: int):
                     sh = sh[order]
                 ends = np.cumsum(sizes)
                 pos = np.arange(len(sh)) - (ends - sizes)[row]
-                keep = pos < (sizes - (sizes * num + den - 1) // den + 1)[row]
+                prefix = sizes - (sizes * num + den - 1) // den + 1
+                keep = pos < prefix[row]
+                last = (sh >> W.U(33)).astype(np.uint32)  # the order's key, to 32 bits
+                if len(frequent):
+                    last |= late[order].astype(np.uint32) << np.uint32(31)
+                last = last[np.maximum(0, ends - sizes + prefix - 1)[row]]
                 post = np.zeros(int(keep.sum()), POSTING)
                 post["sh"] = ((sh[keep] << W.U(bits)) >> W.U(32)).astype(np.uint32)
-                post["fp"], post["n"], post["pos"] = prints[row[keep]], sizes[row[keep]], pos[keep]
+                post["fp"], post["n"], post["last"] = prints[row[keep]], sizes[row[keep]], last[keep]
                 tops.append((sh[keep] >> W.U(64 - bits)).astype(np.int32))
                 posts.append(post)
             if not posts:
@@ -166,32 +173,49 @@ def _post(k: int, num: int, den: int, frequent: np.ndarray, bits: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one block's postings, those whose shingle more than one set has, with the list's length and representative."""
+def _possible(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the set sizes allow a link."""
+    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    return (den * na >= num * nb) & (den * nb >= num * na)
+
+
+def _shared(num: int, den: int):
+    """Of one block's postings, those with a possible partner under the same shingle, and whether the list's first set is one."""
 
     def lists(block: int, blobs: list[bytes]) -> pa.RecordBatch:
         post = np.concatenate([np.frombuffer(b, POSTING) for b in blobs])
         post = post[np.lexsort((post["fp"], post["sh"]))]
         post = post[np.r_[True, (post["sh"][1:] != post["sh"][:-1]) | (post["fp"][1:] != post["fp"][:-1])]]
-        new = np.r_[True, post["sh"][1:] != post["sh"][:-1]]
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.r_[True, post["sh"][1:] != post["sh"][:-1]])
         size = np.diff(np.r_[first, len(post)])
-        many = np.repeat(size > 1, size)
-        rep = np.repeat(post["fp"][first], size)[many]
-        post = post[many]
-        columns = [(np.int64(block) << 32) + post["sh"].astype(np.int64), post["fp"].astype(W.U).view(np.int64), post["n"].astype(np.int64), post["pos"].astype(np.int64), rep.astype(W.U).view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sh", "fp", "n", "pos", "rep"])
+        rep, size = np.repeat(first, size), np.repeat(size, size)
+        keep = size > COMPARED
+        at = np.flatnonzero((size > 1) & ~keep)
+        for step in range(1, COMPARED):
+            at = at[at + step < rep[at] + size[at]]
+            if not at.size:
+                break
+            both = _possible(post[at], post[at + step], num, den)
+            keep[at[both]] = keep[at[both] + step] = True
+        post, rep = post[keep], post[rep[keep]]
+        star = _possible(post, rep, num, den) & (post["fp"] != rep["fp"])
+        columns = [(np.int64(block) << 32) + post["sh"].astype(np.int64), post["fp"].view(), post["n"].astype(np.int64), post["last"].astype(np.int64), rep["fp"].view()]
+        columns = [np.ascontiguousarray(c).view(np.int64) for c in columns]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(star)], ["sh", "fp", "n", "last", "rep", "star"])
 
-    now, blobs = -1, []
-    for batch in batches:
-        for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if block != now:
-                if blobs:
-                    yield lists(now, blobs)
-                now, blobs = block, []
-            blobs.append(blob)
-    if blobs:
-        yield lists(now, blobs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = -1, []
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != now:
+                    if blobs:
+                        yield lists(now, blobs)
+                    now, blobs = block, []
+                blobs.append(blob)
+        if blobs:
+            yield lists(now, blobs)
+
+    return run
 
 
 def _bloom_bits(spread, bits: int):
@@ -265,10 +289,17 @@ def _verify(num: int, den: int, step: int = 2000):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(texts: DataFrame, k: int, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) of fingerprints that are links, by whole sets."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    bloom = _bloom(wanted, wanted.count())
+    sets = cut(texts.select("text").mapInArrow(_fetch(k, bloom), "fp long, blob binary").groupBy("fp").agg(F.first("blob").alias("blob")))
     first = pairs.join(sets.select(F.col("fp").alias("a"), F.col("blob").alias("set_a")), "a")
     both = first.join(sets.select(F.col("fp").alias("b"), F.col("blob").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long")
+    links = cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long"))
+    drop(pairs, sets)
+    return links
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,34 +311,40 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = cut(texts.mapInArrow(_scan(k), "id long, bucket int, n long, fp long, blob binary"))
-    own = scan.where("bucket = -1").select("id", "n", "fp")
+    own = cut(scan.where("bucket = -1").select("id", "n", "fp"))
     total = own.agg(F.sum("n")).first()[0] or 0
     counted = scan.where("bucket >= 0").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "top long, df long")
     limit = max(MIN_FREQUENT, -(-total // MAX_FREQUENT))  # so at most MAX_FREQUENT shingles reach it
     frequent = np.sort(counted.where(F.col("df") >= limit).select("top").toArrow().column(0).to_numpy().astype(np.uint32))
+    drop(scan)
 
     bits = max(4, min(31, (total // 4 // PER_BLOCK).bit_length()))
     packed = texts.select("text").mapInArrow(_post(k, num, den, frequent, bits), "block int, blob binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
-    lists = cut(packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared, "sh long, fp long, n long, pos long, rep long"))
-
-    posted = cut(lists.select("fp").distinct())
-    sets = cut(texts.select("text").mapInArrow(_fetch(k, _bloom(posted, posted.count())), "fp long, blob binary").groupBy("fp").agg(F.first("blob").alias("blob")))
+    lists = cut(packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared(num, den), "sh long, fp long, n long, last long, rep long, star boolean"))
 
-    stars = lists.where("fp <> rep").select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(_linked(stars, sets, num, den))
+    # First each set against one set of each list it is in; these only join what is alike, so few are enough.
+    stars = lists.where("star").groupBy(F.col("fp").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
+    links = _linked(texts, k, stars.where("16 * met >= n").select("a", "b"), num, den)
     label = components(links, "a", "b")
 
-    # All pairs of different components in a list, within the bounds that sizes and positions put on an overlap.
-    named = lists.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").select("sh", "fp", "n", "pos", F.coalesce("root", "fp").alias("root"))
+    # Then all pairs of different components: shared prefix shingles are counted, and what lies behind the
+    # prefix of the set whose prefix ends first bounds the rest of the overlap.
+    named = lists.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").select("sh", "fp", "n", "last", F.coalesce("root", "fp").alias("root"))
     mixed = named.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh")
-    named = named.join(mixed, "sh")
+    named = cut(named.join(mixed, "sh"))
     a, b = named.alias("a"), named.alias("b")
-    bound = f"a.root < b.root and {den} * a.n >= {num} * b.n and {den} * b.n >= {num} * a.n and {num + den} * least(a.n - a.pos, b.n - b.pos) >= {num} * (a.n + b.n)"
-    cross = a.join(b, F.expr(f"a.sh = b.sh and {bound}")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-    more = cut(_linked(cross, sets, num, den))
-    if not more.isEmpty():
-        label = components(links.unionAll(more), "a", "b")
+    behind = "{0}.n - ({0}.n - ceil({0}.n * {1} / {2}) + 1)"
+    rest = f"CASE WHEN a.last < b.last THEN {behind.format('a', num, den)} WHEN a.last > b.last THEN {behind.format('b', num, den)} ELSE greatest({behind.format('a', num, den)}, {behind.format('b', num, den)}) END"
+    sizes = f"a.root < b.root and {den} * a.n >= {num} * b.n and {den} * b.n >= {num} * a.n"
+    cross = a.join(b, F.expr(f"a.sh = b.sh and {sizes}")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.expr("a.n + b.n").alias("n"), F.expr(rest).alias("rest"))
+    cross = cut(cross.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("n").alias("n"), F.max("rest").alias("rest")).where(f"{num + den} * (met + rest) >= {num} * n").select("a", "b"))
+    more = None
+    if not cross.isEmpty():
+        more = _linked(texts, k, cross, num, den)
+        if not more.isEmpty():
+            drop(label)
+            label = components(links.unionAll(more), "a", "b")
 
     # Names of components: the smallest id of any member.
     classes = own.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"))
@@ -315,7 +352,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     roots = joined.groupBy("root").agg(F.min("id").alias("component_id"))
     names = joined.join(roots, "root").select("fp", F.col("component_id").alias("joined_id"))
     names = cut(classes.join(names, "fp", "left").select("fp", F.coalesce("joined_id", "id").alias("component_id")))
-    drop(lists, posted, sets, links, more, label)
+    drop(lists, named, cross, links, label, *([more] if more else []))
     return (
         own.join(names, (own["fp"] == names["fp"]) & (own["n"] > 0), "left")
         .select(own["id"].alias(id_col), own["n"].alias("n_shingles"), F.coalesce(names["component_id"], own["id"]).alias("component_id"))

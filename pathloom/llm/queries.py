@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .language import language_id
 from .ngram_join import ngram_join
 from .quality import quality_rules
 
@@ -21,8 +22,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op6_quality_rules)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op6_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict:
