@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .language import language_id
+from .licenses import license_scan
+from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .quality import quality_rules
 
@@ -22,13 +24,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op6_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_license_scan, op4_mix_sources, op6_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict:
-    return {"op2_ngram_jaccard_join": sql.NGRAM_JOIN, "op6_quality_rules": sql.QUALITY}
+    return {"op2_ngram_jaccard_join": sql.NGRAM_JOIN, "op3_license_scan": sql.LICENSES, "op6_quality_rules": sql.QUALITY}

@@ -59,3 +59,35 @@ SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND word_chars - kept_chars <= 0.5 * word_chars AS kept
 FROM counts
 """
+
+LICENSES = rf"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), found AS (
+  SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t,
+    list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS mit,
+    list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS apache,
+    list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl
+  FROM split
+), labelled AS (
+  SELECT *, list_concat(list_concat(mit, apache), gpl) AS places,
+    list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS base,
+    list_filter([
+      CASE WHEN regexp_matches(t, ' under the (terms of the )?mit license ') THEN 'mit' END,
+      CASE WHEN regexp_matches(t, ' permission is hereby granted free of charge to any person obtaining a copy of [a-z]+( [a-z]+)?( [a-z]+)? software and associated documentation files ') THEN 'mit-grant' END,
+      CASE WHEN contains(t, ' licensed under the apache license ') THEN 'apache' END,
+      CASE WHEN regexp_matches(t, ' under the (terms of the )?(gnu )?general public license ') THEN 'gpl' END,
+      CASE WHEN contains(t, ' this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation ') THEN 'gpl-grant' END,
+      CASE WHEN contains(t, ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ') THEN 'bsd' END,
+      CASE WHEN regexp_matches(t, ' licensed under (a )?(the )?cc by ') THEN 'cc-by' END,
+      CASE WHEN contains(t, ' subject to the terms of the mozilla public license ') THEN 'mpl' END
+    ], lambda x: x IS NOT NULL) AS method
+  FROM found
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+  CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
+  coalesce(array_to_string(base, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base, method))), ','), '') AS labels,
+  CAST(CASE WHEN len(method) > 0 THEN 1 WHEN len(base) > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+FROM labelled
+"""
