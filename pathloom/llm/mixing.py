@@ -10,7 +10,7 @@ How it holds at scale: only one row a pattern reaches the driver. Documents are
 chosen by comparing a hash with a cut that two rounds of histograms find (4096
 bins, then 4096 bins of the bin where the target falls), so no source is ever
 sorted or windowed as a whole, and a source with a third of all rows is spread
-like any other. The last gap is closed by the one best-fitting document.
+like any other. The last gap is closed by the few best-fitting documents.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source
 of its own, last in order. Documents of size 0 take nothing. Equal ids or
@@ -24,10 +24,13 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .store import cut, drop
+
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 EPOCHS = 2
 BINS = 4096
+CLOSING = 3  # documents that may close a pattern's last gap
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS) -> dict:
@@ -117,7 +120,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.withColumns({"_size": word_count(F.col(text_col)), "_pattern": members})
     # Two independent 31-bit hashes order the documents of a pattern.
     own = own.withColumns({"_bin": F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(BINS)).cast("int"), "_fine": F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BINS)).cast("int"), "_tie": F.xxhash64(F.col(id_col), F.col("_size"), F.lit(-seed))})
-    sizes = own.select(id_col, "_size", "_pattern", "_bin", "_fine", "_tie")
+    sizes = cut(own.select("_size", "_pattern", "_bin", "_fine", "_tie"))
 
     totals = sizes.groupBy("_pattern").agg(F.sum("_size").alias("tokens")).collect()
     patterns = [(tuple(r["_pattern"]), r["tokens"] or 0) for r in sorted(totals, key=lambda r: str(r["_pattern"]))]
@@ -159,14 +162,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = [(p, first[p][0], second[p][0], at.get(p, (-(1 << 63), second[p][1]))[0], part[p] - at.get(p, (0, second[p][1]))[1]) for p in second]
     cuts = spark.createDataFrame(cuts, "p int, cut_bin int, cut_fine int, cut_tie long, gap long")
     inside = "(_bin < cut_bin or _bin = cut_bin and (_fine < cut_fine or _fine = cut_fine and _tie <= cut_tie))"
-    # The gap that is left is closed as well as one more document can.
-    spare = wanted.join(F.broadcast(cuts), "p").where(f"not {inside} and _size > 0 and _size < 2 * gap")
-    extra = spare.groupBy("p").agg(F.min_by("_tie", F.struct(F.abs(F.col("gap") - F.col("_size")), "_tie")).alias("extra_tie"))
-    extra = {r["p"]: r["extra_tie"] for r in extra.collect()}
-    chosen = {r[0]: r for r in cuts.collect()}
-    final = [row[1:5] + ((chosen[row[0]]["cut_bin"], chosen[row[0]]["cut_fine"], chosen[row[0]]["cut_tie"]) if row[0] in chosen else (-1, -1, 0)) + (extra.get(row[0]),) for row in plan]
-    final = spark.createDataFrame(final, f"goal array<{kind}>, source_size long, target double, passes int, cut_bin int, cut_fine int, cut_tie long, extra_tie long")
+    # The gap that is left is closed as well as a few more documents can.
+    extras: dict[int, list[int]] = {r["p"]: [] for r in cuts.collect()}
+    chosen = {r["p"]: r for r in cuts.collect()}
+    gaps = {p: r["gap"] for p, r in chosen.items()}
+    for _ in range(CLOSING):
+        now = spark.createDataFrame([(*chosen[p][:4], gaps[p], extras[p]) for p in gaps if gaps[p] > 0], "p int, cut_bin int, cut_fine int, cut_tie long, gap long, extra array<long>")
+        spare = wanted.join(F.broadcast(now), "p").where(f"not {inside} and not array_contains(extra, _tie) and _size > 0 and _size < 2 * gap")
+        best = spare.groupBy("p").agg(F.min_by(F.struct("_tie", "_size"), F.struct(F.abs(F.col("gap") - F.col("_size")), "_tie")).alias("best")).collect()
+        for r in best:
+            extras[r["p"]].append(r["best"]["_tie"])
+            gaps[r["p"]] -= r["best"]["_size"]
+        if not best:
+            break
+    final = [row[1:5] + ((*chosen[row[0]][1:4], extras[row[0]]) if row[0] in chosen else (-1, -1, 0, [])) for row in plan]
+    final = spark.createDataFrame(final, f"goal array<{kind}>, source_size long, target double, passes int, cut_bin int, cut_fine int, cut_tie long, extra array<long>")
+    drop(sizes)
     placed = own.join(F.broadcast(final), own["_pattern"].eqNullSafe(final["goal"]))
-    again = F.expr(f"if({inside} or coalesce(_tie = extra_tie, false), 1, 0)")
+    again = F.expr(f"if({inside} or array_contains(extra, _tie), 1, 0)")
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     return placed.select(*[placed[c] for c in names], F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("passes") + again)).alias("taken"))
