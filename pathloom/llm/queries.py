@@ -10,6 +10,7 @@ from .licenses import license_scan
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .quality import quality_rules
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +33,16 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_license_scan, op4_mix_sources, op6_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_license_scan, op4_mix_sources, op6_quality_rules, op7_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict:
