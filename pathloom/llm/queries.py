@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
@@ -9,10 +11,15 @@ from .language import language_id
 from .licenses import license_scan
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .pieces import encode
 from .quality import quality_rules
 from .toxicity import toxicity
 
 
+#: The SentencePiece model of op5 and of the pipeline; it is read on the driver only.
+PIECES = os.environ.get("PATHLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,6 +28,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -42,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_license_scan, op4_mix_sources, op6_quality_rules, op7_toxicity, op10_language_id)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_license_scan, op4_mix_sources, op5_sentencepiece, op6_quality_rules, op7_toxicity, op10_language_id)}
 
 
 def oracle_sql() -> dict:
