@@ -12,13 +12,13 @@ How it holds at scale
   is posted: two sets of similarity t share a shingle there. The order puts
   frequent shingles last, so passages that many documents share are posted only
   by documents that consist of little else. "Frequent" is decided by exact
-  counts over all documents; at most 2**20 shingles of 32 bits are broadcast,
+  counts over all documents; at most 2**22 shingles of 32 bits are broadcast,
   because the limit rises with the number of occurrences.
 * Posted shingles travel as packed arrays; those of a single set end there.
-* First sets are compared with one representative of their posting lists
-  (linear), and links are joined into components. The exact join that follows
-  pairs only sets of different components, so a group of near copies never
-  becomes all of its pairs. It counts shared prefix shingles and discards pairs
+* First, in a few rounds, each set is compared with a few others (linear), and
+  links are joined into components. The exact join that follows pairs only sets
+  of different components, so a group of near copies never becomes all of its
+  pairs. It counts shared prefix shingles and discards pairs
   whose count plus what lies behind the prefix stays below the bound.
 * Joins on hot keys are plain equi-joins, which AQE splits.
 
@@ -30,6 +30,7 @@ keeps its row. Repeated rows each keep a row. Other columns pass unseen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,13 @@ from .components import components
 from .store import cut, drop
 
 BUCKETS = 1024  # of 22 bits each, for counting 32-bit shingle prefixes
-MIN_FREQUENT = 48
-MAX_FREQUENT = 1 << 20
+MIN_FREQUENT = 12
+MAX_FREQUENT = 1 << 22
 POSTING = np.dtype([("sh", "<u4"), ("fp", "<u8"), ("n", "<u4"), ("last", "<u4")])
 COMPARED = 64  # in longer lists every posting counts as having a possible partner
 PER_BLOCK = 400_000
+ROUNDS = 5
+DRAWS = 4
 LOW_40 = np.uint64((1 << 40) - 1)
 
 
@@ -180,7 +183,7 @@ def _possible(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _shared(num: int, den: int):
-    """Of one block's postings, those with a possible partner under the same shingle, and whether the list's first set is one."""
+    """Of one block's postings, those with a possible partner under the same shingle."""
 
     def lists(block: int, blobs: list[bytes]) -> pa.RecordBatch:
         post = np.concatenate([np.frombuffer(b, POSTING) for b in blobs])
@@ -197,11 +200,10 @@ def _shared(num: int, den: int):
                 break
             both = _possible(post[at], post[at + step], num, den)
             keep[at[both]] = keep[at[both] + step] = True
-        post, rep = post[keep], post[rep[keep]]
-        star = _possible(post, rep, num, den) & (post["fp"] != rep["fp"])
-        columns = [(np.int64(block) << 32) + post["sh"].astype(np.int64), post["fp"].view(), post["n"].astype(np.int64), post["last"].astype(np.int64), rep["fp"].view()]
+        post = post[keep]
+        columns = [(np.int64(block) << 32) + post["sh"].astype(np.int64), post["fp"].view(), post["n"].astype(np.int64), post["last"].astype(np.int64)]
         columns = [np.ascontiguousarray(c).view(np.int64) for c in columns]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(star)], ["sh", "fp", "n", "last", "rep", "star"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sh", "fp", "n", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = -1, []
@@ -289,17 +291,15 @@ def _verify(num: int, den: int, step: int = 2000):
     return run
 
 
-def _linked(texts: DataFrame, k: int, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of fingerprints that are links, by whole sets."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    bloom = _bloom(wanted, wanted.count())
-    sets = cut(texts.select("text").mapInArrow(_fetch(k, bloom), "fp long, blob binary").groupBy("fp").agg(F.first("blob").alias("blob")))
     first = pairs.join(sets.select(F.col("fp").alias("a"), F.col("blob").alias("set_a")), "a")
     both = first.join(sets.select(F.col("fp").alias("b"), F.col("blob").alias("set_b")), "b")
-    links = cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long"))
-    drop(pairs, sets)
-    return links
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, tables)
 
 
 def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,7 +312,8 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     scan = cut(texts.mapInArrow(_scan(k), "id long, bucket int, n long, fp long, blob binary"))
     own = cut(scan.where("bucket = -1").select("id", "n", "fp"))
-    total = own.agg(F.sum("n")).first()[0] or 0
+    total, own_rows = own.agg(F.sum("n"), F.count("*")).first()
+    total = total or 0
     counted = scan.where("bucket >= 0").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "top long, df long")
     limit = max(MIN_FREQUENT, -(-total // MAX_FREQUENT))  # so at most MAX_FREQUENT shingles reach it
     frequent = np.sort(counted.where(F.col("df") >= limit).select("top").toArrow().column(0).to_numpy().astype(np.uint32))
@@ -321,30 +322,55 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     bits = max(4, min(31, (total // 4 // PER_BLOCK).bit_length()))
     packed = texts.select("text").mapInArrow(_post(k, num, den, frequent, bits), "block int, blob binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
-    lists = cut(packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared(num, den), "sh long, fp long, n long, last long, rep long, star boolean"))
-
-    # First each set against one set of each list it is in; these only join what is alike, so few are enough.
-    stars = lists.where("star").groupBy(F.col("fp").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("met"), F.max("n").alias("n"))
-    links = _linked(texts, k, stars.where("16 * met >= n").select("a", "b"), num, den)
-    label = components(links, "a", "b")
+    lists = cut(packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared(num, den), "sh long, fp long, n long, last long"))
+
+    posted = cut(lists.select("fp").distinct())
+    sets = cut(texts.select("text").mapInArrow(_fetch(k, _bloom(posted, posted.count())), "fp long, blob binary").groupBy("fp").agg(F.first("blob").alias("blob")))
+    drop(posted)
+
+    def mixed(label: DataFrame | None) -> DataFrame:
+        """The lists that hold sets of different components, with these."""
+        named = lists.withColumn("root", F.col("fp"))
+        if label is not None:
+            named = lists.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        both = named.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh")
+        return cut(named.join(both, "sh"))
+
+    # First a few rounds in which DRAWS sets, drawn anew each time, stand for each list, and each set is compared with
+    # those of another component that stand for most of its lists.
+    found, label = [], None
+    for turn in range(ROUNDS):
+        named = mixed(label)
+        drawn = [F.min_by(F.struct(F.lit(i).alias("draw"), F.col("fp").alias("other"), F.col("root").alias("its"), F.col("n").alias("size")), F.xxhash64("fp", F.lit(turn), F.lit(i))) for i in range(DRAWS)]
+        chosen = named.groupBy("sh").agg(F.array(*drawn).alias("drawn")).select("sh", F.inline("drawn"))
+        beside = named.join(chosen, "sh").where(f"root <> its and {den} * n >= {num} * size and {den} * size >= {num} * n")
+        stars = beside.groupBy("fp", "draw", "other").agg(F.count("*").alias("met"))
+        stars = stars.groupBy("fp", "draw").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
+        stars = cut(stars.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct())
+        links = cut(_verified(stars, sets, num, den))
+        few = links.count() * 1000 < own_rows
+        drop(named, stars)
+        found.append(links)
+        if label is not None:
+            drop(label)
+        label = components(_union(found), "a", "b")
+        if few:
+            break
 
     # Then all pairs of different components: shared prefix shingles are counted, and what lies behind the
     # prefix of the set whose prefix ends first bounds the rest of the overlap.
-    named = lists.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").select("sh", "fp", "n", "last", F.coalesce("root", "fp").alias("root"))
-    mixed = named.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh")
-    named = cut(named.join(mixed, "sh"))
+    named = mixed(label)
     a, b = named.alias("a"), named.alias("b")
     behind = "{0}.n - ({0}.n - ceil({0}.n * {1} / {2}) + 1)"
     rest = f"CASE WHEN a.last < b.last THEN {behind.format('a', num, den)} WHEN a.last > b.last THEN {behind.format('b', num, den)} ELSE greatest({behind.format('a', num, den)}, {behind.format('b', num, den)}) END"
     sizes = f"a.root < b.root and {den} * a.n >= {num} * b.n and {den} * b.n >= {num} * a.n"
     cross = a.join(b, F.expr(f"a.sh = b.sh and {sizes}")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.expr("a.n + b.n").alias("n"), F.expr(rest).alias("rest"))
     cross = cut(cross.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("n").alias("n"), F.max("rest").alias("rest")).where(f"{num + den} * (met + rest) >= {num} * n").select("a", "b"))
-    more = None
-    if not cross.isEmpty():
-        more = _linked(texts, k, cross, num, den)
-        if not more.isEmpty():
-            drop(label)
-            label = components(links.unionAll(more), "a", "b")
+    links = cut(_verified(cross, sets, num, den))
+    if not links.isEmpty():
+        found.append(links)
+        drop(label)
+        label = components(_union(found), "a", "b")
 
     # Names of components: the smallest id of any member.
     classes = own.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"))
@@ -352,7 +378,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     roots = joined.groupBy("root").agg(F.min("id").alias("component_id"))
     names = joined.join(roots, "root").select("fp", F.col("component_id").alias("joined_id"))
     names = cut(classes.join(names, "fp", "left").select("fp", F.coalesce("joined_id", "id").alias("component_id")))
-    drop(lists, named, cross, links, label, *([more] if more else []))
+    drop(lists, named, cross, sets, label, *found)
     return (
         own.join(names, (own["fp"] == names["fp"]) & (own["n"] > 0), "left")
         .select(own["id"].alias(id_col), own["n"].alias("n_shingles"), F.coalesce(names["component_id"], own["id"]).alias("component_id"))

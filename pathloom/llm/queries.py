@@ -16,6 +16,7 @@ from .ngram_join import ngram_join
 from .pieces import encode
 from .quality import quality_rules
 from .reputation import url_filter
+from .store import for_texts
 from .toxicity import toxicity
 
 
@@ -24,7 +25,7 @@ PIECES = os.environ.get("PATHLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return for_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

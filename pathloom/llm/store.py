@@ -17,6 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def for_texts(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of rows that hold whole texts: 1000 at a time, unless the user set a number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: no lineage, and it survives lost executors."""
     spark = df.sparkSession
