@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .folds import bounded, fold
+from .store import cut, drop
 
 LETTERS = 32
 SPAN = 6
@@ -207,10 +208,8 @@ class Scorer:
         return np.where(x[:, 0] <= -2.0, 0.0, p)
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, most: int = 6000, words: int = 6000, landmarks: int = LANDMARKS) -> Scorer:
-    """A scorer from labelled documents: at most about ``most`` of each class, and ``words`` words of them."""
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    sample = bounded(rows, "id", "label", most).select("text", "label").dropDuplicates(["text"])
+def fit(sample: DataFrame, words: int = 6000, landmarks: int = LANDMARKS) -> Scorer:
+    """A scorer from a bounded sample (text, label) of labelled documents, and ``words`` words of them."""
 
     def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -277,15 +276,23 @@ def predict(docs: DataFrame, scorer: Scorer, text_col: str, threshold: float = T
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
 
 
-def train_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1) -> DataFrame:
-    """(id, text, label) of the labelled documents outside the held-out fold; a document with several labels has its largest."""
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label")).where(fold("_id", folds) != held)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return texts.join(known, "_id").select("_id", "text", "label")
+def train_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = 6000) -> DataFrame:
+    """(text, label) of about ``most`` labelled documents of each class at most, none of the held-out fold, equal texts once.
+
+    A document with several labels has its largest. The sample's ids are bounded by ``most``, so they are broadcast and
+    the documents are not shuffled.
+    """
+    label = F.when(F.col(label_col).isin(0, 1), F.col(label_col).cast("int"))
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("label")).where((fold("_id", folds) != held) & F.col("label").isNotNull())
+    ids = bounded(known, "_id", "label", most)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    return cut(texts.join(F.broadcast(ids), "_id").groupBy("text").agg(F.max("label").alias("label")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1) -> DataFrame:
     """Per document its id, ``held_out``, ``score`` and ``predicted``."""
-    scorer = fit(train_rows(docs, labels, id_col, text_col, label_col, folds, held), "_id", "text", "label")
+    sample = train_sample(docs, labels, id_col, text_col, label_col, folds, held)
+    scorer = fit(sample)
+    drop(sample)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (fold(id_col, folds) == held).alias("held_out"))
     return predict(own, scorer, "_text").select(F.col("_id").alias(id_col), "held_out", "score", "predicted")
