@@ -58,8 +58,8 @@ WALK = f"""{ARCS}, walk(v, path, n) AS (
   SELECT arc.w, list_append(path, arc.w), n + 1 FROM walk JOIN arc ON arc.v = walk.v AND NOT list_contains(path, arc.w)
 ), paths AS (SELECT path FROM walk WHERE n = 25 AND path[1] < v)"""
 TURN = f"""{WALK}, sides AS (SELECT path AS p, path FROM paths UNION ALL SELECT path AS p, list_reverse(path) FROM paths),
-pivot AS (SELECT p, path, unnest(range(1, 23)) AS i FROM sides),
-turned AS (SELECT p, list_concat(path[1:i + 1], list_reverse(path[i + 2:])) AS t FROM pivot WHERE {SQUARE.format('(path[i + 1] + path[25])')}),
+pivots AS (SELECT p, path, unnest(range(1, 23)) AS i FROM sides),
+turned AS (SELECT p, list_concat(path[1:i + 1], list_reverse(path[i + 2:])) AS t FROM pivots WHERE {SQUARE.format('(path[i + 1] + path[25])')}),
 rot AS (SELECT DISTINCT p AS src, CASE WHEN t[1] < t[25] THEN t ELSE list_reverse(t) END AS dst FROM turned),
 links AS (SELECT src, dst FROM rot JOIN paths ON dst = path WHERE src <> dst),
 reach(a, b) AS (SELECT path, path FROM paths UNION SELECT r.a, l.dst FROM reach r JOIN links l ON r.b = l.src),
