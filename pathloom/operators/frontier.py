@@ -313,16 +313,18 @@ class Checkpoints:
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def save(self, spark: SparkSession, states: DataFrame, step: int, cycles: int, seen: list[tuple]) -> DataFrame:
-        name = f"step-{step:04d}"
-        states.write.mode("overwrite").parquet(f"{self.path}/{name}")
+    def save(self, spark: SparkSession, states: DataFrame, step: int) -> DataFrame:
+        path = f"{self.path}/step-{step:04d}"
+        states.write.mode("overwrite").parquet(path)
+        return spark.read.schema(states.schema).parquet(path)
+
+    def name(self, spark: SparkSession, step: int, cycles: int, seen: list[tuple]) -> None:
         manifest = spark.createDataFrame([(self.mark, step, str(cycles), json.dumps(seen))], "mark string, step int, cycles string, seen string")
         manifest.coalesce(1).write.mode("overwrite").json(f"{self.path}/new-manifest")
         new, fs = self._file(spark, "new-manifest")
         old, _ = self._file(spark, "manifest")
         fs.delete(old, True)
         fs.rename(new, old)
-        return spark.read.schema(states.schema).parquet(f"{self.path}/{name}")
 
     def load(self, spark: SparkSession) -> tuple[DataFrame, int, int, list] | None:
         """(states, step, cycles, profile) of the last whole checkpoint of the same graph and order, or None."""
@@ -367,7 +369,7 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
         df, first, cycles, seen = got
         own, first = None, first + 1
         seen = [tuple(x) for x in seen]
-    n = 1
+    n = seen[-1][5] if seen else 1
     for step in plan[first : step_limit]:
         if df is None and form == "auto" and len(own) > local_rows:
             df, own = _spread(spark, own, spread), None
@@ -381,8 +383,9 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
                     cycles += int(part.agg(F.sum("cnt")).first()[0] or 0)
             else:
                 df = packed_step(df, step, prune)
-            if saved and step.k % every == every - 1:
-                df = saved.save(spark, df, step.k, cycles, seen)
+            write = saved and step.k % every == every - 1
+            if write:
+                df = saved.save(spark, df, step.k)
             else:
                 df = df.checkpoint() if step.k % every == every - 1 and spark.sparkContext.getCheckpointDir() else df.persist()
             if spread == "packed" and step.final:
@@ -390,6 +393,8 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
                 df = df.where("nc < 2")
             out = df.count()
         seen.append((step.k, step.vertex, step.width, len(step.back), n, out))
+        if df is not None and write:
+            saved.name(spark, step.k, cycles, seen)
         n = out
     if df is None:
         paths = _total(own.cnt[own.nc]) if plan and own.conn.shape[1] == 0 else 0
