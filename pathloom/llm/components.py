@@ -21,6 +21,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = cut(both.unionAll(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near")).select("node", F.least("node", "near").alias("root")))
+    tables = [label]
     while True:
         beside = both.join(label.select(F.col("node").alias("v"), F.col("root").alias("low")), "v").groupBy(F.col("u").alias("node")).agg(F.min("low").alias("low"))
         lower = label.join(beside, "node").select("node", "root", F.least("root", "low").alias("to"))
@@ -29,10 +30,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         hooked = lower.join(told, "node", "left").select("node", "root", F.least("to", F.coalesce("told", "to")).alias("to"))
         up = hooked.select(F.col("node").alias("to"), F.col("to").alias("above"))
         new = cut(hooked.join(up, "to", "left").select("node", "root", F.least("to", F.coalesce("above", "to")).alias("to")))
-        changed = not new.where("to < root").isEmpty()
-        drop(label)
-        label = cut(new.select("node", F.col("to").alias("root")))
-        drop(new)
-        if not changed:
+        drop(tables.pop())
+        tables.append(new)
+        label = new.select("node", F.col("to").alias("root"))
+        if new.where("to < root").isEmpty():
             drop(both)
             return label

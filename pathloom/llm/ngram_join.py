@@ -43,10 +43,10 @@ from .store import cut, drop
 BUCKETS = 1024  # of 22 bits each, for counting 32-bit shingle prefixes
 MIN_FREQUENT = 12
 MAX_FREQUENT = 1 << 22
-POSTING = np.dtype([("sh", "<u4"), ("fp", "<u8"), ("n", "<u4"), ("last", "<u4")])
+POSTING = np.dtype([("sh", "<u4"), ("fp", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("last", "<u4"), ("late", "<u4")])
 COMPARED = 64  # in longer lists every posting counts as having a possible partner
 PER_BLOCK = 400_000
-ROUNDS = 5
+ROUNDS = 3
 DRAWS = 4
 LOW_40 = np.uint64((1 << 40) - 1)
 
@@ -156,9 +156,12 @@ def _post(k: int, num: int, den: int, frequent: np.ndarray, bits: int):
                 if len(frequent):
                     last |= late[order].astype(np.uint32) << np.uint32(31)
                 last = last[np.maximum(0, ends - sizes + prefix - 1)[row]]
+                own_late = late[order] if len(frequent) else np.zeros(len(sh), bool)
+                lates = np.bincount(row[keep], own_late[keep], len(sizes)).astype(np.int64)  # of a prefix
                 post = np.zeros(int(keep.sum()), POSTING)
                 post["sh"] = ((sh[keep] << W.U(bits)) >> W.U(32)).astype(np.uint32)
-                post["fp"], post["n"], post["last"] = prints[row[keep]], sizes[row[keep]], last[keep]
+                post["fp"], post["n"], post["pos"], post["last"] = prints[row[keep]], sizes[row[keep]], pos[keep], last[keep]
+                post["late"] = lates[row[keep]] << 1 | own_late[keep]
                 tops.append((sh[keep] >> W.U(64 - bits)).astype(np.int32))
                 posts.append(post)
             if not posts:
@@ -201,9 +204,9 @@ def _shared(num: int, den: int):
             both = _possible(post[at], post[at + step], num, den)
             keep[at[both]] = keep[at[both] + step] = True
         post = post[keep]
-        columns = [(np.int64(block) << 32) + post["sh"].astype(np.int64), post["fp"].view(), post["n"].astype(np.int64), post["last"].astype(np.int64)]
+        columns = [(np.int64(block) << 32) + post["sh"].astype(np.int64), post["fp"].view(), *(post[c].astype(np.int64) for c in ("n", "pos", "last")), (post["late"] >> 1).astype(np.int64), (post["late"] & 1).astype(np.int64)]
         columns = [np.ascontiguousarray(c).view(np.int64) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sh", "fp", "n", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sh", "fp", "n", "pos", "last", "lates", "late"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = -1, []
@@ -322,7 +325,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     bits = max(4, min(31, (total // 4 // PER_BLOCK).bit_length()))
     packed = texts.select("text").mapInArrow(_post(k, num, den, frequent, bits), "block int, blob binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
-    lists = cut(packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared(num, den), "sh long, fp long, n long, last long"))
+    lists = cut(packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_shared(num, den), "sh long, fp long, n long, pos long, last long, lates long, late long"))
 
     posted = cut(lists.select("fp").distinct())
     sets = cut(texts.select("text").mapInArrow(_fetch(k, _bloom(posted, posted.count())), "fp long, blob binary").groupBy("fp").agg(F.first("blob").alias("blob")))
@@ -344,7 +347,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
         drawn = [F.min_by(F.struct(F.lit(i).alias("draw"), F.col("fp").alias("other"), F.col("root").alias("its"), F.col("n").alias("size")), F.xxhash64("fp", F.lit(turn), F.lit(i))) for i in range(DRAWS)]
         chosen = named.groupBy("sh").agg(F.array(*drawn).alias("drawn")).select("sh", F.inline("drawn"))
         beside = named.join(chosen, "sh").where(f"root <> its and {den} * n >= {num} * size and {den} * size >= {num} * n")
-        stars = beside.groupBy("fp", "draw", "other").agg(F.count("*").alias("met"))
+        stars = beside.groupBy("fp", "draw", "other").agg(F.count("*").alias("met"), F.max("n").alias("n")).where("16 * met >= n")
         stars = stars.groupBy("fp", "draw").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
         stars = cut(stars.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct())
         links = cut(_verified(stars, sets, num, den))
@@ -357,15 +360,18 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
         if few:
             break
 
-    # Then all pairs of different components: shared prefix shingles are counted, and what lies behind the
-    # prefix of the set whose prefix ends first bounds the rest of the overlap.
+    # Then all pairs of different components. A frequent shingle pairs sets only where it can be the first they share,
+    # which their positions tell. Other shared prefix shingles are counted; with the frequent ones of the prefixes, and
+    # what lies behind the prefix of the set whose prefix ends first, they bound the overlap.
     named = mixed(label)
     a, b = named.alias("a"), named.alias("b")
     behind = "{0}.n - ({0}.n - ceil({0}.n * {1} / {2}) + 1)"
     rest = f"CASE WHEN a.last < b.last THEN {behind.format('a', num, den)} WHEN a.last > b.last THEN {behind.format('b', num, den)} ELSE greatest({behind.format('a', num, den)}, {behind.format('b', num, den)}) END"
     sizes = f"a.root < b.root and {den} * a.n >= {num} * b.n and {den} * b.n >= {num} * a.n"
-    cross = a.join(b, F.expr(f"a.sh = b.sh and {sizes}")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.expr("a.n + b.n").alias("n"), F.expr(rest).alias("rest"))
-    cross = cut(cross.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("n").alias("n"), F.max("rest").alias("rest")).where(f"{num + den} * (met + rest) >= {num} * n").select("a", "b"))
+    first = f"(a.late = 0 or {num + den} * least(a.n - a.pos, b.n - b.pos) >= {num} * (a.n + b.n))"
+    cross = a.join(b, F.expr(f"a.sh = b.sh and {sizes} and {first}")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.expr("a.n + b.n").alias("n"), F.expr(f"{rest} + least(a.lates, b.lates)").alias("rest"), F.col("a.late").alias("late"))
+    cross = cross.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("n").alias("n"), F.max("rest").alias("rest"), F.max("late").alias("late"))
+    cross = cut(cross.where(f"late = 1 or {num + den} * (met + rest) >= {num} * n").select("a", "b"))
     links = cut(_verified(cross, sets, num, den))
     if not links.isEmpty():
         found.append(links)

@@ -27,6 +27,7 @@ A literal mark character in a text decodes to a blank, as in the library, so
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 class Vocabulary:
@@ -68,16 +69,18 @@ class Encoder:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark behind other characters, so texts don't split at marks")
         self.alone = {c for p in self.ids for c in p}
-        # Pieces by their reversed characters: the id at "" ends a piece.
-        self.tails: dict = {}
+        # Pieces by their reversed characters: [id or -1, longer pieces].
+        root = [-1, {}]
         for p, i in self.ids.items():
-            node = self.tails
+            node = root
             for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
+        self.tails: dict = root[1]
         self.split = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if "\n" not in self.alone else rf"{MARK}*[^{MARK}]+|{MARK}+")
         self.follows: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.lossy: set[str] = set()  # words that decode to others
 
     def __reduce__(self):
         return Encoder, (self.vocabulary,)
@@ -113,8 +116,11 @@ class Encoder:
 
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Ids of sorted distinct words; prefix states are kept from one word to the next."""
-        merges, scores, tails, follows = self.vocabulary.merges, self.vocabulary.scores, self.tails, self.follows
-        before, last, start, best = "", [-1], [0], [0.0]  # by prefix length: last piece, its start, the sum of scores
+        merges, scores, tails = self.vocabulary.merges, self.vocabulary.scores, self.tails
+        known, may_follow, one = self.follows.get, self.may_follow, self.one
+        unseen = min(scores) - 10.0
+        # By prefix length: the last piece (-1: none, or a character that no piece has), its start, the sum of scores.
+        before, last, start, best = "", [-1], [0], [0.0]
         for word in words:
             if merges and word.startswith(MARK + MARK):
                 yield word, self.merged(word)
@@ -124,44 +130,48 @@ class Encoder:
                 shared += 1
             del last[shared + 1 :], start[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                node, j, piece, at, value = tails, end, -2, end - 1, -1e18
-                while j and (node := node.get(word[j - 1])) is not None:
+                longer, j, piece, at, value = tails, end, -1, end - 1, -1e18
+                while j and (node := longer.get(word[j - 1])) is not None:
                     j -= 1
-                    k = node.get("")
-                    if k is None:
+                    k, longer = node
+                    if k < 0:
                         continue
                     if merges:
-                        a = last[j]
-                        if a == -2:
-                            a = -1  # nothing merges with a character that no piece has
-                        ok = follows.get(a << 20 | k)
-                        if ok if ok is not None else self.may_follow(a, k):
+                        ok = known(last[j] << 20 | k)
+                        if ok or ok is None and may_follow(last[j], k):
                             piece, at = k, j
                             break
                     elif best[j] + scores[k] > value:
                         piece, at, value = k, j, best[j] + scores[k]
-                if piece == -2 and not merges:
-                    value = best[end - 1] + min(scores) - 10.0
                 last.append(piece)
                 start.append(at)
-                best.append(value)
+                if not merges:
+                    best.append(best[end - 1] + unseen if piece < 0 else value)
             ids, end = [], len(word)
             while end:
-                ids.append(last[end] if last[end] >= 0 else word[end - 1])
+                if last[end] < 0:
+                    ids += reversed(one(word[end - 1]))
+                else:
+                    ids.append(last[end])
                 end = start[end]
             before = word
-            yield word, [k for x in reversed(ids) for k in ([x] if isinstance(x, int) else self.one(x))]
+            ids.reverse()
+            yield word, ids
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether all its words decode to themselves."""
         units = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = {w for own in units for w in own} - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
+            self.lossy.clear()
             new = {w for own in units for w in own}
+        text = self.text
         for word, ids in self.encode_sorted(sorted(new)):
-            self.known[word] = np.array(ids, "<i4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<i4") for own in units]
+            self.known[word] = array("i", ids).tobytes()
+            if b"".join([text[k] for k in ids]) != word.replace(MARK, " ").encode("utf-8", "replace"):
+                self.lossy.add(word)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<i4") for own in units], [self.lossy.isdisjoint(own) for own in units] if self.lossy else [True] * len(units)
 
     def decode(self, ids) -> str:
         out = b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")
@@ -178,12 +188,12 @@ def encode(docs: DataFrame, model: str | Vocabulary, id_col: str = "doc_id", tex
             for lo in range(0, len(whole), 256):
                 batch = whole.slice(lo, 256)
                 texts = batch.column(1).to_pylist()
-                ids = encoder.encode(texts)
+                ids, whole_words = encoder.encode(texts)
                 sizes = np.array([len(x) for x in ids], np.int64)
                 flat = np.concatenate(ids) if len(ids) else np.zeros(0, "<i4")
                 ends = np.cumsum(sizes)
                 sums = np.r_[0, np.cumsum(is_byte[flat])]
-                same = [encoder.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                same = [w and MARK not in (t or "") for w, t in zip(whole_words, texts, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists, pa.array(sums[ends] - sums[ends - sizes]), pa.array(same)], ["id", "n_tokens", "ids", "n_bytes", "round_trip"])
 
