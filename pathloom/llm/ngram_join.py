@@ -351,7 +351,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
         stars = stars.groupBy("fp", "draw").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
         stars = cut(stars.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct())
         links = cut(_verified(stars, sets, num, den))
-        few = links.count() * 1000 < own_rows
+        few = links.count() * 20 < own_rows
         drop(named, stars)
         found.append(links)
         if label is not None:
