@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language. Those without a letter, or unlike all languages, go."""
     for_texts(spark)
     profiles = language.fit(docs.where(fold("doc_id", 5) != 0))
-    judged = language.predict(docs, profiles)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("closeness") >= LEAST_CLOSENESS)).select(docs.columns)
+    judged = language.predict(docs, profiles, prefix="_own_")
+    return judged.where((F.col("_own_lang_pred") != language.UNKNOWN) & (F.col("_own_closeness") >= LEAST_CLOSENESS)).select(docs.columns)
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     for_texts(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scorer = toxicity.fit(cut(toxicity.train_sample(docs, labels)))
-    return toxicity.predict(docs, scorer, "text").where("predicted = 0").select(docs.columns)
+    return toxicity.predict(docs, scorer, "text", prefix="_own_").where("_own_predicted = 0").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken."""
     for_texts(spark)
-    taken = mixing.mix_sources(docs).where("taken > 0")
-    times = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
+    taken = mixing.mix_sources(docs, prefix="_own_").where("_own_taken > 0")
+    times = F.sequence(F.lit(1), (F.col("_own_taken") / F.col("_own_size")).cast("int"))
     return taken.withColumn("_copy", F.explode(times)).select(docs.columns)
 
 

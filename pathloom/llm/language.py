@@ -89,10 +89,10 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return {lang: part["gram"].to_numpy() for lang, part in got.groupby("lang")}
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", length: int = LENGTH, prefix: str = "") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (how much nearer the best language is than the next) and ``closeness``.
 
-    ``closeness`` is 1 for a document whose ranks are those of the language and 0 for one that shares no n-gram with it.
+    ``closeness`` is 1 for a document whose ranks are those of the language and 0 for one that shares no n-gram with it. The new columns' names begin with ``prefix``.
     """
     names = sorted(profiles)
     known = np.unique(np.concatenate([profiles[x] for x in names])) if names else np.zeros(0, np.int64)
@@ -117,7 +117,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
         return pd.DataFrame([judge(t) for t in texts], columns=["lang", "score", "closeness"])
 
     out = docs.withColumn("_judged", judged(F.col(text_col).cast("string")))
-    return out.withColumns({"lang_pred": F.col("_judged.lang"), "score": F.col("_judged.score"), "closeness": F.col("_judged.closeness")}).drop("_judged")
+    return out.withColumns({prefix + "lang_pred": F.col("_judged.lang"), prefix + "score": F.col("_judged.score"), prefix + "closeness": F.col("_judged.closeness")}).drop("_judged")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, most: int = 4000) -> DataFrame:

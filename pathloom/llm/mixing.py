@@ -21,6 +21,7 @@ are then taken together. An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -109,11 +110,12 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS, prefix: str = "") -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (tokens taken, repeats counted; a multiple of the size).
 
     ``source_col`` holds a source or an array of sources; of an array's documents ``source_size`` and ``target`` are the
-    sums over the pattern's flow. Reruns agree: the choice hangs on the seed and on ids alone.
+    sums over the pattern's flow. Reruns agree: the choice hangs on the seed and on ids alone. The new columns' names
+    begin with ``prefix``; columns of ``docs`` with the same names are replaced.
     """
     many = docs.schema[source_col].dataType.typeName() == "array"
     members = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col).cast("string"))
@@ -176,9 +178,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not best:
             break
     final = [row[1:5] + ((*chosen[row[0]][1:4], extras[row[0]]) if row[0] in chosen else (-1, -1, 0, [])) for row in plan]
-    final = spark.createDataFrame(final, f"goal array<{kind}>, source_size long, target double, passes int, cut_bin int, cut_fine int, cut_tie long, extra array<long>")
+    final = spark.createDataFrame(final, f"_goal array<{kind}>, _source_size long, _target double, _passes int, cut_bin int, cut_fine int, cut_tie long, extra array<long>")
+    final = final.select("_goal", "_source_size", "_target", "_passes", F.struct("cut_bin", "cut_fine", "cut_tie", "extra").alias("_cut"))
     drop(sizes)
-    placed = own.join(F.broadcast(final), own["_pattern"].eqNullSafe(final["goal"]))
-    again = F.expr(f"if({inside} or array_contains(extra, _tie), 1, 0)")
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return placed.select(*[placed[c] for c in names], F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("passes") + again)).alias("taken"))
+    placed = own.join(F.broadcast(final), own["_pattern"].eqNullSafe(final["_goal"]))
+    chosen_now = f"{inside} or array_contains(extra, _tie)"
+    for name in ("cut_bin", "cut_fine", "cut_tie", "extra"):
+        chosen_now = re.sub(rf"\b{name}\b", f"_cut.{name}", chosen_now)
+    added = {"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "taken": F.col("_size") * (F.col("_passes") + F.expr(f"if({chosen_now}, 1, 0)"))}
+    added = {prefix + k: v for k, v in added.items()}
+    return placed.select(*[c for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])

@@ -241,7 +241,7 @@ def _bloom(fps: DataFrame, count: int) -> np.ndarray:
 
     rows = fps.mapInArrow(run, "word long, value long").groupBy("word").agg(F.expr("bit_or(value)").alias("value")).toArrow()
     out = np.zeros(1 << (bits - 5), "<u4")
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.uint32)
+    out[rows.column(0).to_numpy().astype(np.int64)] = rows.column(1).to_numpy().astype(np.int64).astype(np.uint32)
     return np.unpackbits(out.view(np.uint8), bitorder="little") if bits <= 20 else out
 
 

@@ -267,13 +267,15 @@ def fit(sample: DataFrame, words: int = 6000, landmarks: int = LANDMARKS) -> Sco
     return plain
 
 
-def predict(docs: DataFrame, scorer: Scorer, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+def predict(docs: DataFrame, scorer: Scorer, text_col: str, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``, their names behind ``prefix``."""
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(scorer([t if isinstance(t, str) else None for t in texts]))
 
-    out = docs.withColumn("score", score(F.col(text_col).cast("string")))
-    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
+    out = docs.withColumn(prefix + "score", score(F.col(text_col).cast("string")))
+    return out.withColumn(prefix + "predicted", F.when(F.col(prefix + "score") >= threshold, 1).otherwise(0).cast("int"))
 
 
 def train_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = 6000) -> DataFrame:
