@@ -73,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_ngram_jaccard_join": sql.NGRAM_JOIN, "op3_license_scan": sql.LICENSES, "op6_quality_rules": sql.QUALITY}
+    return {"op2_ngram_jaccard_join": sql.NGRAM_JOIN, "op3_license_scan": sql.LICENSES, "op6_quality_rules": sql.QUALITY, "op9_url_filter": sql.REPUTATION}

@@ -91,3 +91,53 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS
   CAST(CASE WHEN len(method) > 0 THEN 1 WHEN len(base) > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
 FROM labelled
 """
+
+
+def _strength(table: str) -> str:
+    """The prior's weight from the rates of a level, as in ``reputation._strength``."""
+    return f"""(SELECT CASE WHEN m IS NULL THEN 2.0 WHEN v - m * (1 - m) * noise > 1e-9 THEN least(1000.0, greatest(1.0, m * (1 - m) / (v - m * (1 - m) * noise) - 1)) ELSE 1000.0 END
+    FROM (SELECT avg(bad / n) AS m, coalesce(var_pop(bad / n), 0) AS v, avg(1.0::DOUBLE / n) AS noise FROM {table}))"""
+
+
+REPUTATION = rf"""
+WITH base AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM base
+), ruled AS (
+  SELECT *, CASE
+      WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts
+), judged AS (
+  SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS verdict FROM ruled
+), names AS (
+  SELECT host, regexp_matches(host, '^[0-9.]+(:[0-9]+)?$|^\[') AS address, string_split(regexp_replace(host, ':[0-9]+$|\.+$', '', 'g'), '.') AS l FROM (SELECT DISTINCT host FROM judged)
+), levels AS (
+  SELECT host, CASE WHEN address THEN host ELSE array_to_string(l[-2:], '.') END AS domain, CASE WHEN address THEN '' ELSE l[-1] END AS suffix FROM names
+), by_host AS (
+  SELECT host, domain, suffix, count(*)::DOUBLE AS n, count_if(verdict = 'block')::DOUBLE AS bad FROM judged JOIN levels USING (host) WHERE verdict IS NOT NULL GROUP BY ALL
+), total AS (
+  SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 1) / (sum(n) + 2) ELSE 0.5 END AS mean FROM by_host
+), s0 AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY suffix
+), s1 AS (
+  SELECT suffix, bad + w * mean AS a, n - bad + w * (1 - mean) AS b FROM s0, total, (SELECT {_strength("s0")} AS w)
+), d0 AS (
+  SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM by_host GROUP BY ALL
+), d1 AS (
+  SELECT domain, bad + w * p AS a, n - bad + w * (1 - p) AS b FROM (SELECT d0.*, a / (a + b) AS p FROM d0 JOIN s1 USING (suffix)), (SELECT {_strength("d0")} AS w)
+), h1 AS (
+  SELECT host, bad + w * p AS a, n - bad + w * (1 - p) AS b FROM (SELECT by_host.*, a / (a + b) AS p FROM by_host JOIN d1 USING (domain)), (SELECT {_strength("by_host")} AS w)
+), best AS (
+  SELECT l.host, coalesce(h1.a, d1.a, s1.a, 2 * mean) AS a, coalesce(h1.b, d1.b, s1.b, 2 * (1 - mean)) AS b
+  FROM levels l CROSS JOIN total LEFT JOIN h1 ON h1.host = l.host LEFT JOIN d1 ON d1.domain = l.domain LEFT JOIN s1 ON s1.suffix = l.suffix
+), bound AS (
+  SELECT host, greatest(0, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS bad_rate FROM best
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad_rate > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(bad_rate, 6) AS bad_rate
+FROM judged JOIN bound USING (host)
+"""
