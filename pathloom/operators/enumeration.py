@@ -26,6 +26,7 @@ def hamiltonian_paths(graph: Graph, n: int | None = None) -> DataFrame:
     if n < 2:
         return graph.vertices.select(F.array("v").alias("path")).limit(0)
     near = graph.adjacency().select(F.col("v").alias("last"), "nbrs").persist()
+    near.count()  # with its size known it is broadcast where it is small, and joined by shuffle where not
     paths = graph.vertices.select(F.array("v").alias("path"), F.col("v").alias("last"))
     for k in range(1, n):
         step = paths.join(near, "last").select("path", F.explode(F.filter("nbrs", lambda w: ~F.array_contains("path", w))).alias("w"))
