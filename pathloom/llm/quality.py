@@ -26,8 +26,9 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _count_of(text: Column, others: str) -> Column:
+    """Characters that ``others``, a class of all but them, leaves: whole runs go at once."""
+    return F.length(F.regexp_replace(text, f"{others}+", ""))
 
 
 def _repeats(hashes: str) -> Column:
@@ -51,11 +52,10 @@ def line_fails(line: Column, max_symbols: float = 0.2, max_bars: float = 0.3, ma
     """
     words = split_words(line)
     n = F.size(words)
-    size = F.length(line)
-    symbols = size - F.length(_without(line, "#*$%&<>"))
-    bars = size - F.length(_without(line, "|"))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
+    symbols = _count_of(line, "[^#*$%&<>]")
+    bars = _count_of(line, "[^|]")
+    letters = _count_of(line, r"[^\p{L}]")
+    capitals = _count_of(line, r"[^\p{Lu}]")
     punctuation = (symbols > max_symbols * n) | ((n >= 3) & (capitals > max_caps * letters))
     navigation = ((n >= 3) & (bars > max_bars * n)) | ((n < 3) & ~line.rlike(r"[.!?:;,\"')\]]\s*$"))
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE)) | ((n >= 10) & (F.size(F.array_distinct(words)) < min_distinct * n))
@@ -74,7 +74,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "hashes": F.transform("words", lambda w: F.xxhash64(w)),
         "full": F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         "word_chars": F.length(F.array_join("words", "")).cast("long"),
-        "n_symbols": (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long"),
+        "n_symbols": _count_of(F.col("text"), f"[^{SYMBOLS}]").cast("long"),
     }).drop("words", "lines")
     windows = hashed.withColumns({
         "windows": F.expr(f"if(size(hashes) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(1, size(hashes) - {WINDOW - 1}), i -> xxhash64(slice(hashes, i, {WINDOW}))))"),
@@ -88,7 +88,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "clean_text": F.array_join("kept_lines", "\n"),
     }).drop("places", "kept_lines")
     judged = counted.withColumns({
-        "kept_chars": F.length(_without(F.col("clean_text"), " \t\n\x0b\x0c\r")).cast("long"),
+        "kept_chars": _count_of(F.col("clean_text"), BLANKS[:-1]).cast("long"),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
     kept = ~F.col("base_failed") & (F.col("word_chars") - F.col("kept_chars") <= max_loss * F.col("word_chars"))
