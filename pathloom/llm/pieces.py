@@ -161,11 +161,11 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether all its words decode to themselves."""
         units = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for own in units for w in own} - self.known.keys()
+        new = set().union(*units).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             self.lossy.clear()
-            new = {w for own in units for w in own}
+            new = set().union(*units)
         text = self.text
         for word, ids in self.encode_sorted(sorted(new)):
             self.known[word] = array("i", ids).tobytes()
