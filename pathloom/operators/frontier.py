@@ -405,13 +405,14 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
 
 
 def _spread(spark: SparkSession, s: States, form: str) -> DataFrame:
-    table = pa.Table.from_batches([_batch(s)])
-    df = spark.createDataFrame(table)
     if form == "packed":
-        return df
+        return spark.createDataFrame(pa.Table.from_batches([_batch(s)]))
+    # Array states are handed over as they are: a packed key holds SLOTS slots only.
     width = s.conn.shape[1]
-    slots = F.array(*[(F.shiftrightunsigned("key", 4 * j).bitwiseAND(15) - 1).cast("int") for j in range(width)]) if width else F.array().cast("array<int>")
-    return df.select(slots.alias("conn"), "nc", F.col("cnt").cast(DECIMAL))
+    ends = pa.array(np.arange(0, (len(s) + 1) * width, width, dtype=np.int32) if width else np.zeros(len(s) + 1, np.int32))
+    conn = pa.ListArray.from_arrays(ends, pa.array(s.conn.astype(np.int32).ravel()))
+    table = pa.Table.from_arrays([conn, pa.array(s.nc.astype(np.int32)), _to_decimal(s.cnt)], ["conn", "nc", "cnt"])
+    return spark.createDataFrame(table)
 
 
 def step_table(spark: SparkSession, counted: Counted) -> DataFrame:

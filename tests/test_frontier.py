@@ -74,6 +74,15 @@ def test_isolated_vertex_and_wide_states(spark):
         D.count(spark, star, order, form="packed")
 
 
+def test_wide_states_survive_the_switch_to_spark(spark):
+    n = 36
+    ring = {v: sorted([(v - 1) % n, (v + 1) % n]) for v in range(n)}
+    order = [*range(0, n, 2), *range(1, n, 2)]
+    own, got = D.count(spark, ring, order), D.count(spark, ring, order, local_rows=2)
+    assert got.steps[18][5] > 2 and got.steps[19][2] == 19  # the switch, with 18 slots
+    assert (got.paths, got.cycles, got.steps) == (n, 1, own.steps)
+
+
 def test_canonical():
     import numpy as np
 
