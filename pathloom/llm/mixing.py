@@ -10,7 +10,10 @@ How it holds at scale: only one row a pattern reaches the driver. Documents are
 chosen by comparing a hash with a cut that two rounds of histograms find (4096
 bins, then 4096 bins of the bin where the target falls), so no source is ever
 sorted or windowed as a whole, and a source with a third of all rows is spread
-like any other. The last gap is closed by the few best-fitting documents.
+like any other. A document that does not fit is passed over: the hash order goes
+on behind it, by the same histograms, over the documents no larger than the gap,
+until the gap is below the smallest spare document. One more document is taken
+where that comes nearer to the target.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source
 of its own, last in order. Documents of size 0 take nothing. Equal ids or
@@ -21,7 +24,6 @@ are then taken together. An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -31,7 +33,6 @@ WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 EPOCHS = 2
 BINS = 4096
-CLOSING = 3  # documents that may close a pattern's last gap
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS) -> dict:
@@ -140,51 +141,65 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[source_col].dataType.elementType.simpleString() if many else "string"
     spark = docs.sparkSession
     goals = spark.createDataFrame(plan, f"p int, _pattern array<{kind}>, source_size long, target double, passes int, part long")
-    keyed = sizes.join(F.broadcast(goals.select("p", "_pattern", "part")), sizes["_pattern"].eqNullSafe(goals["_pattern"])).drop("_pattern")
+    keyed = sizes.join(F.broadcast(goals.where("part > 0").select("p", "_pattern")), sizes["_pattern"].eqNullSafe(goals["_pattern"])).drop("_pattern")
 
     def cut_at(rows: DataFrame, bin_col: str, before: str) -> DataFrame:
-        """(p, cut bin, tokens before it) where the running total first reaches ``part``: at most BINS rows a pattern."""
-        sums = rows.groupBy("p", "part", before, bin_col).agg(F.sum("_size").alias("tokens"))
+        """(p, cut bin, tokens before it) where the running total first reaches ``gap``: at most BINS rows a pattern."""
+        sums = rows.groupBy("p", "gap", before, bin_col).agg(F.sum("_size").alias("tokens"))
         running = sums.withColumn("reach", F.col(before) + F.sum("tokens").over(Window.partitionBy("p").orderBy(bin_col)))
-        hit = running.where("reach >= part").groupBy("p").agg(F.min_by(F.struct(F.col(bin_col), (F.col("reach") - F.col("tokens")).alias("below")), bin_col).alias("hit"))
+        hit = running.where("reach >= gap").groupBy("p").agg(F.min_by(F.struct(F.col(bin_col), (F.col("reach") - F.col("tokens")).alias("below")), bin_col).alias("hit"))
         return hit.select("p", f"hit.{bin_col}", "hit.below")
 
-    # Both rounds leave one row a pattern, so they are collected like the patterns themselves.
-    wanted = keyed.where("part > 0").withColumn("none", F.lit(0).cast("long"))
-    first = {r["p"]: (r["_bin"], r["below"]) for r in cut_at(wanted, "_bin", "none").collect()}
-    level = spark.createDataFrame([(p, b, t) for p, (b, t) in first.items()], "p int, _bin int, below long")
-    inner = wanted.join(F.broadcast(level), ["p", "_bin"])
-    second = {r["p"]: (r["_fine"], r["below"]) for r in cut_at(inner, "_fine", "below").collect()}
-    level = spark.createDataFrame([(p, first[p][0], b, t) for p, (b, t) in second.items()], "p int, _bin int, _fine int, below long")
-    # Within the last bin (one in 16 million of a pattern): whole documents while they fit, by hash.
-    tail = wanted.join(F.broadcast(level), ["p", "_bin", "_fine"]).withColumn("reach", F.col("below") + F.sum("_size").over(Window.partitionBy("p").orderBy("_tie")))
-    last = tail.where("reach <= part").groupBy("p").agg(F.max("_tie").alias("tie"), F.max("reach").alias("reach"))
-    at = {r["p"]: (r["tie"], r["reach"]) for r in last.collect()}
-    part = {row[0]: row[5] for row in plan}
-    cuts = [(p, first[p][0], second[p][0], at.get(p, (-(1 << 63), second[p][1]))[0], part[p] - at.get(p, (0, second[p][1]))[1]) for p in second]
-    cuts = spark.createDataFrame(cuts, "p int, cut_bin int, cut_fine int, cut_tie long, gap long")
-    inside = "(_bin < cut_bin or _bin = cut_bin and (_fine < cut_fine or _fine = cut_fine and _tie <= cut_tie))"
-    # The gap that is left is closed as well as a few more documents can.
-    extras: dict[int, list[int]] = {r["p"]: [] for r in cuts.collect()}
-    chosen = {r["p"]: r for r in cuts.collect()}
-    gaps = {p: r["gap"] for p, r in chosen.items()}
-    for _ in range(CLOSING):
-        now = spark.createDataFrame([(*chosen[p][:4], gaps[p], extras[p]) for p in gaps if gaps[p] > 0], "p int, cut_bin int, cut_fine int, cut_tie long, gap long, extra array<long>")
-        spare = wanted.join(F.broadcast(now), "p").where(f"not {inside} and not array_contains(extra, _tie) and _size > 0 and _size < 2 * gap")
-        best = spare.groupBy("p").agg(F.min_by(F.struct("_tie", "_size"), F.struct(F.abs(F.col("gap") - F.col("_size")), "_tie")).alias("best")).collect()
-        for r in best:
-            extras[r["p"]].append(r["best"]["_tie"])
-            gaps[r["p"]] -= r["best"]["_size"]
-        if not best:
-            break
-    final = [row[1:5] + ((*chosen[row[0]][1:4], extras[row[0]]) if row[0] in chosen else (-1, -1, 0, [])) for row in plan]
-    final = spark.createDataFrame(final, f"_goal array<{kind}>, _source_size long, _target double, _passes int, cut_bin int, cut_fine int, cut_tie long, extra array<long>")
-    final = final.select("_goal", "_source_size", "_target", "_passes", F.struct("cut_bin", "cut_fine", "cut_tie", "extra").alias("_cut"))
+    # A run takes, of the places between two documents that do not fit, the documents no larger than the gap at its start.
+    place = "struct(_bin, _fine, _tie)"
+    runs: dict[int, list[tuple]] = {}
+    gaps = {row[0]: row[5] for row in plan if row[5] > 0}
+    open_runs = {p: (-1, 0, 0) for p in gaps}
+    while open_runs:
+        now = spark.createDataFrame([(p, gaps[p], place_now) for p, place_now in open_runs.items()], "p int, gap long, after struct<_bin: int, _fine: int, _tie: long>")
+        wanted = keyed.join(F.broadcast(now), "p").where(f"_size > 0 and _size <= gap and {place} > after").withColumn("none", F.lit(0).cast("long"))
+        # All rounds leave one row a pattern, so they are collected like the patterns themselves.
+        first = {r["p"]: (r["_bin"], r["below"]) for r in cut_at(wanted, "_bin", "none").collect()}
+        at = {}
+        if first:
+            level = spark.createDataFrame([(p, b, t) for p, (b, t) in first.items()], "p int, _bin int, below long")
+            second = {r["p"]: (r["_fine"], r["below"]) for r in cut_at(wanted.join(F.broadcast(level), ["p", "_bin"]), "_fine", "below").collect()}
+            level = spark.createDataFrame([(p, first[p][0], b, t) for p, (b, t) in second.items()], "p int, _bin int, _fine int, below long")
+            # Within the last bin (one in 16 million of a pattern): whole documents while they fit, by hash.
+            tail = wanted.join(F.broadcast(level), ["p", "_bin", "_fine"]).withColumn("reach", F.col("below") + F.sum("_size").over(Window.partitionBy("p").orderBy("_tie")))
+            last = tail.groupBy("p", "below").agg(F.max(F.expr("if(reach <= gap, reach, null)")).alias("reach"), F.min(F.expr("if(reach > gap, _tie, null)")).alias("tie"))
+            at = {r["p"]: r for r in last.collect()}
+        left = [] if len(at) == len(open_runs) else wanted.groupBy("p").agg(F.sum("_size").alias("tokens")).collect()
+        rest = {r["p"]: r["tokens"] for r in left}
+        for p, after in list(open_runs.items()):
+            gap = gaps[p]
+            if p in at:
+                tie = at[p]["tie"]
+                end = (first[p][0], second[p][0], tie) if tie is not None else (first[p][0], second[p][0] + 1, -(1 << 63))
+                gaps[p] -= at[p]["below"] if at[p]["reach"] is None else at[p]["reach"]
+            else:  # all that is left fits
+                end = (BINS, 0, 0)
+                gaps[p] -= rest.get(p, 0)
+            runs.setdefault(p, []).append((gap, after, end))
+            if p in at and gaps[p] > 0:
+                open_runs[p] = end
+            else:
+                del open_runs[p]
+    run_type = "array<struct<most: long, past: struct<_bin: int, _fine: int, _tie: long>, stop: struct<_bin: int, _fine: int, _tie: long>>>"
+    inside = f"exists(runs, r -> _size <= r.most and {place} > r.past and {place} < r.stop)"
+    # Nothing spare fits any more: the smallest is taken if that comes nearer.
+    extras: dict[int, int] = {}
+    if any(g > 0 for g in gaps.values()):
+        now = spark.createDataFrame([(p, g, runs[p]) for p, g in gaps.items() if g > 0], f"p int, gap long, runs {run_type}")
+        spare = keyed.join(F.broadcast(now), "p").where(f"_size > 0 and _size < 2 * gap and not {inside}")
+        spare = spare.groupBy("p", "gap", "_tie").agg(F.sum("_size").alias("_size")).where("_size < 2 * gap")
+        extras = {r["p"]: r["tie"] for r in spare.groupBy("p").agg(F.min_by("_tie", F.struct(F.abs(F.col("gap") - F.col("_size")), "_tie")).alias("tie")).collect()}
+    final = [row[1:5] + (runs.get(row[0], []), extras.get(row[0])) for row in plan]
+    final = spark.createDataFrame(final, f"_goal array<{kind}>, _source_size long, _target double, _passes int, runs {run_type}, extra long")
+    final = final.select("_goal", "_source_size", "_target", "_passes", F.struct("runs", "extra").alias("_cut"))
     drop(sizes)
     placed = own.join(F.broadcast(final), own["_pattern"].eqNullSafe(final["_goal"]))
-    chosen_now = f"{inside} or array_contains(extra, _tie)"
-    for name in ("cut_bin", "cut_fine", "cut_tie", "extra"):
-        chosen_now = re.sub(rf"\b{name}\b", f"_cut.{name}", chosen_now)
+    chosen_now = inside.replace("exists(runs", "exists(_cut.runs") + " or coalesce(_tie = _cut.extra, false)"
     added = {"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "taken": F.col("_size") * (F.col("_passes") + F.expr(f"if({chosen_now}, 1, 0)"))}
     added = {prefix + k: v for k, v in added.items()}
     return placed.select(*[c for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])

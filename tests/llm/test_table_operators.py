@@ -43,6 +43,22 @@ def test_mix(spark, odd_docs, no_docs):
     assert mixing.mix_sources(many).count() == 600
 
 
+def test_mix_goes_on_behind_documents_that_do_not_fit(spark):
+    rng = random.Random(5)
+    sizes = [rng.randrange(10, 71) for _ in range(500)] + [20_000] * 3
+    df = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    for seed in range(4):
+        out = mixing.mix_sources(df, seed=seed, weights=(1,), total=0.5).collect()
+        gap = sum(sizes) / 2 - sum(r.taken for r in out)
+        assert all(r.taken in (0, r["size"]) for r in out)
+        spare = [r["size"] for r in out if not r.taken]
+        assert -min(r["size"] for r in out if r.taken) <= gap < min(spare), (seed, gap)
+    copies = spark.createDataFrame([(7, "w " * 30, "a")] * 10 + [(i, "w " * i, "a") for i in range(50, 90)], "doc_id long, text string, source string")
+    for seed in range(3):
+        out = mixing.mix_sources(copies, seed=seed, weights=(1,), total=0.1).collect()
+        assert abs(sum(r.taken for r in out) - out[0].target) < 50 and len({r.taken for r in out if r.doc_id == 7}) == 1
+
+
 # reputation ----------------------------------------------------------------------------------------------------------------
 
 
