@@ -9,9 +9,15 @@ removed. Elements whose names say what they are (menus, forms, adverts, ...)
 never count as text, and where a page marks its article only that counts, so
 hosts with few pages are cleaned as well.
 
-How it holds at scale: pages are parsed one by one; the tree's rows are counted
-per batch and then by map-side combined aggregation over (host, node, value)
-hashes, so a host with a third of all pages is no group anywhere. Of the tree
+Pages of a host whose text is the same (repeated rows, mirrors) count once, so
+what only copies share is not furniture; and where a marked article would lose
+more than half of its characters, its pages are copies but for a date or the
+like, and it stays whole.
+
+How it holds at scale: pages are parsed one by one; copies are found by a hash
+of host and text, and the tree's rows are counted per batch and then by map-side
+combined aggregation over (host, node, value) hashes, so a host with a third of
+all pages is no group anywhere. Of the tree
 only nodes to be removed are kept. They are shipped with the function while
 there are at most 50,000; beyond that each page gets its host's list by a join.
 
@@ -28,6 +34,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -73,8 +80,8 @@ def _node(parent: int, name: str) -> int:
     return got
 
 
-def parse(html: str) -> tuple[list[tuple[tuple[int, ...], str]], dict[int, list[str]]]:
-    """The text blocks of a page outside furniture, each with its chain of nodes, and the child names of each node."""
+def parse(html: str) -> tuple[list[tuple[tuple[int, ...], str]], dict[int, list[str]], bool]:
+    """The text blocks of a page outside furniture, each with its chain of nodes, the child names of each node, and whether the blocks are a marked article."""
     stack: list[tuple[str, int, bool, bool]] = []  # tag, node, skipped, within an article
     blocks: list[Block] = []
     children: dict[int, list[str]] = {}
@@ -141,9 +148,10 @@ def parse(html: str) -> tuple[list[tuple[tuple[int, ...], str]], dict[int, list[
         children.setdefault(parent, []).append(name)
         stack.append((tag, node, skipped, article))
     kept = [(b.nodes, t, b.in_article) for b in blocks if (t := " ".join(unescape("".join(b.parts)).split()))]
-    if any(a for *_, a in kept):
+    marked = any(a for *_, a in kept)
+    if marked:
         kept = [b for b in kept if b[2]]
-    return [(nodes, t) for nodes, t, _ in kept], children
+    return [(nodes, t) for nodes, t, _ in kept], children, marked
 
 
 def _value(text: str) -> int:
@@ -151,21 +159,36 @@ def _value(text: str) -> int:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, importance) of the nodes that at least LEAST_PAGES pages of a host have, from (host, html)."""
+    """(host, node, importance) of the nodes that at least LEAST_PAGES different pages of a host have, from (host, html)."""
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[tuple, bytes] = {}
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                blocks, children, _ = parse(html or "")
+                if not blocks:
+                    continue
+                texts = sorted({(node, _value(t)) for nodes, t in blocks for node in nodes})
+                nodes = sorted({node for node, _ in texts})
+                shown = [(node, _value(" ".join(children.get(node, ())))) for node in nodes]
+                tree = np.array([(len(texts), 0), *texts, *shown], np.int64).tobytes()
+                key = host, _value("\n".join(t for _, t in blocks))
+                rows[key] = min(tree, rows.get(key, tree))
+            keys = list(zip(*rows, strict=True)) if rows else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(rows.values(), pa.binary())], ["host", "content", "tree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: Counter = Counter()
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, children = parse(html or "")
-                texts = {(node, _value(t)) for nodes, t in blocks for node in nodes}
-                nodes = {node for node, _ in texts}
-                rows.update((host, node, 0, value) for node, value in texts)
-                rows.update((host, node, 1, _value(" ".join(children.get(node, ())))) for node in nodes)
+            for host, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (n, _), *pairs = np.frombuffer(tree, np.int64).reshape(-1, 2).tolist()
+                rows.update((host, node, int(i >= n), value) for i, (node, value) in enumerate(pairs))
             keys = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()), pa.array(rows.values(), pa.int64())], ["host", "node", "kind", "value", "n"])
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, node long, kind int, value long, n long")
+    # A page content counts once; of its copies the least tree stands for all.
+    distinct = pages.select("host", "html").mapInArrow(contents, "host string, content long, tree binary").groupBy("host", "content").agg(F.min("tree").alias("tree"))
+    rows = distinct.select("host", "tree").mapInArrow(run, "host string, node long, kind int, value long, n long")
     counts = rows.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
     # Of presentations n pages each: entropy ln m - sum(n ln n) / m. Of a text on n pages alike: entropy ln n.
     nodes = counts.groupBy("host", "node").agg(
@@ -201,8 +224,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             texts = []
             for host, html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 gone = removed.get(host, set()) if low is None else set(low)
-                blocks, _ = parse(html or "")
-                texts.append("\n".join(t for nodes, t in blocks if gone.isdisjoint(nodes)))
+                blocks, _, marked = parse(html or "")
+                left = [t for nodes, t in blocks if gone.isdisjoint(nodes)]
+                if marked and 2 * sum(map(len, left)) < sum(len(t) for _, t in blocks):
+                    left = [t for _, t in blocks]
+                texts.append("\n".join(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     own = own.select("_id", "_url", "host", "html", "low")

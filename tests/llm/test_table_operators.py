@@ -108,6 +108,25 @@ def test_style_tree_removes_what_every_page_has(spark):
     assert all("Same words" in r.text for r in few)
 
 
+def test_copies_of_an_article_keep_their_text(spark):
+    rng = random.Random(6)
+    shell = "<body><div class='x1'><p>{}</p></div><article><h1>{}</h1><p>{}</p>{}</article></body>"
+    rows, want = [], {}
+    for host, articles, copies in (("one", 1, 5), ("two", 2, 50), ("five", 5, 20), ("mirror", 1, 6), ("dated", 1, 9)):
+        for a in range(articles):
+            head, body = prose(rng, 3), prose(rng, 30)
+            for c in range(copies):
+                date = f"<p class='d'>day {c}</p>" if host == "dated" else ""
+                rows.append((len(rows), f"http://{host}.net/{c}", shell.format(c if host == "mirror" else "", head, body, date)))
+                want[rows[-1][0]] = f"{head}\n{body}" + (f"\nday {c}" if date else "")
+    for c in range(12):  # what different articles share is still furniture
+        rows.append((len(rows), f"http://s.net/{c}", shell.format("", prose(rng, 3), prose(rng, 30), "<div class='z'><p>Same words in all</p></div>")))
+        want[rows[-1][0]] = None
+    out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == t for i, t in want.items() if t is not None)
+    assert all("Same words" not in out[i] and out[i].count("\n") == 1 for i, t in want.items() if t is None)
+
+
 # vectors -----------------------------------------------------------------------------------------------------------------------
 
 
