@@ -1,27 +1,28 @@
-"""Toxicity by a subsequence string kernel, Nystroem landmarks and a linear SVM.
+"""Toxicity by a subsequence string kernel on sentences, Nystroem landmarks and a linear SVM.
 
 The kernel of two strings sums, over all subsequences of three and of four
-letters (a word's ends count as letters) that both have within six places, decay to the power of the places each
+letters (a blank counts as a letter, and may be a gap) that both have within six places, decay to the power of the places each
 spans (gaps included), divided by the strings' own weights. Characters put into
-a word only stretch what it shares with an insult, so spaced, starred or
-misspelt insults stay near it.
-
-A sentence is as toxic as its worst word (runs of single characters count as
-one word), a document as its worst sentences. Since only documents are
-labelled, the worst word of a toxic document is not known: one distributed
-aggregation counts how many toxic and clean training documents have each word,
-and a toxic document stands for those of its words that most toxic documents
-and no clean ones have. Nystroem features are kernels with landmark words, whitened;
-the SVM is linear on them. Its decision is an inner product with one weight for
-each subsequence, so the landmarks fold into a table of weights and a
-word is scored by 20 lookups a letter, whatever their number.
-
-Scoring is one pass without a shuffle; each process remembers the scores of a
-bounded number of words. Memory follows the longest text.
+an insult, a blank too, only stretch what it shares with it, so spaced, starred,
+broken or misspelt insults stay near it, and so do insults of several words.
+
+A sentence is read as all windows of 7 to 12 places (WIDTHS) over its characters (runs of
+single characters are joined first); it is as toxic as its worst window, a
+document as its worst windows. Only documents are labelled, so labels are passed
+to windows in rounds: at first by the odds of every subsequence in toxic and
+clean training documents, then by the last round's SVM. Each round a document's
+worst windows stand for it (of a clean document they are those that break the
+margin; others have no loss) beside evenly drawn ones, and the SVM is fitted
+again. Nystroem features are kernels with landmark windows, whitened; the SVM
+is linear on them. Its decision is an inner product with one weight for each
+subsequence, so the landmarks fold into a table of weights and text is scored
+by 20 lookups a character, whatever their number.
+
+Scoring is one pass without a shuffle. Memory follows the longest text.
 
 Defined results: null and empty texts score the prior of an empty text (0).
 With one class only, or no labels, all scores are 0. Ties in the draws go to
-the word that sorts first. Repeated rows each keep a row.
+the window that sorts first. Repeated rows each keep a row.
 """
 
 from __future__ import annotations
@@ -44,10 +45,16 @@ TABLE = LETTERS**4 + LETTERS**3
 END = 31  # the letter for a word's ends
 PLACES = 28  # longer words are windows of this many places that overlap by half
 LANDMARKS = 320
-REMEMBERED = 300_000
+WIDTHS = (7, 8, 9, 10, 12)  # places of a window, none below SPAN
+CHUNK = 1 << 15
+ROUNDS = 2
+PENALTY = 1e-3
+STANDING = 3  # a document's worst windows that train
 THRESHOLD = 0.7
 TOXIC_SHARE = 0.3
 STEPS = [x for n in (2, 3) for x in combinations(range(1, SPAN), n)]  # the other letters' places after the first
+STOP = "\x01" * SPAN  # no subsequence reaches over it
+BREAK = re.compile(r"[.!?]+(?:\s|\Z)")
 SPACED = re.compile(r"(?:(?<!\S)\S[^\S\n]){2,}\S(?!\S)")
 
 _code = np.zeros(0x10000, np.uint8)
@@ -56,7 +63,7 @@ for _c in range(0x80, 0x10000):
         _code[_c] = 27 + _c % 4
 for _i in range(26):
     _code[97 + _i] = _code[65 + _i] = 1 + _i
-_code[0] = END
+_code[0] = _code[32] = END
 
 
 def tokens(text: str) -> list[str]:
@@ -67,11 +74,11 @@ def tokens(text: str) -> list[str]:
     return text.split()
 
 
-def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: list[str], ends: str = "\0") -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of the words' windows (0: no letter, a gap), and each window's word."""
     cut, owner = [], []
     for i, w in enumerate(words):
-        w = f"\0{w}\0"
+        w = f"{ends}{w}{ends}"
         if len(w) <= PLACES:
             cut.append(w)
             owner.append(i)
@@ -79,7 +86,7 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for k in range(0, len(w) - PLACES // 2, PLACES // 2):
                 cut.append(w[k : k + PLACES])
                 owner.append(i)
-    text = "".join(w.ljust(PLACES) for w in cut)
+    text = "".join(w.ljust(PLACES, "\x01") for w in cut)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return _code[np.minimum(points, 0xFFFF)].reshape(-1, PLACES), np.array(owner, np.int64)
 
@@ -109,9 +116,9 @@ def score_words(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: list[str], ends: str = "\0") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse subsequence features of words (first window), scaled by the word's own weight: (word, subsequence, value)."""
-    codes, owner = windows([w[: PLACES - 2] for w in words])
+    codes, owner = windows([w[: PLACES - 2] for w in words], ends)
     rows, keys, values = [], [], []
     square = np.full(len(codes), 1e-9)
     for key, whole, weight in subsequences(codes):
@@ -124,34 +131,39 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, keys, values / np.sqrt(square)[rows]
 
 
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
+def kernel(words: list[str], landmarks: list[str], ends: str = "\0") -> np.ndarray:
     """Kernels of words with landmarks, over the subsequences that the landmarks have."""
-    lr, lk, lv = features(landmarks)
+    lr, lk, lv = features(landmarks, ends)
     known, column = np.unique(lk, return_inverse=True)
     dense = np.zeros((len(known), len(landmarks)), np.float32)
     np.add.at(dense, (column, lr), lv)
     out = np.zeros((len(words), len(landmarks)))
-    for lo in range(0, len(words), 1000):
-        r, k, v = features(words[lo : lo + 1000])
+    for lo in range(0, len(words), 500):
+        r, k, v = features(words[lo : lo + 500], ends)
         at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-        keep = known[at] == k
-        part = np.zeros((min(1000, len(words) - lo), len(known)), np.float32)
-        np.add.at(part, (r[keep], at[keep]), v[keep])
-        out[lo : lo + 1000] = part @ dense
+        keep = np.nonzero(known[at] == k)[0]
+        keep = keep[np.argsort(r[keep], kind="stable")]
+        if len(keep):
+            rows, first = np.unique(r[keep], return_index=True)
+            out[lo + rows] = np.add.reduceat(dense[at[keep]] * v[keep, None].astype(np.float32), first)
     return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """A linear SVM with squared hinge loss and a bias, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = penalty * np.eye(len(w))
     ridge[-1, -1] = 1e-9
     weight = weight / weight.sum()
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        new = np.linalg.solve(xa.T @ (xa * wa[:, None]) + ridge, xa.T @ (wa * y[active]))
+        left, right = ridge.copy(), np.zeros(len(w))
+        for lo in range(0, len(x), 4096):
+            part, sign = np.c_[x[lo : lo + 4096], np.ones(len(x[lo : lo + 4096]))], y[lo : lo + 4096]
+            active = sign * (part @ w) < 1
+            xa, wa = part[active], weight[lo : lo + 4096][active]
+            left += xa.T @ (xa * wa[:, None])
+            right += xa.T @ (wa * sign[active])
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -173,31 +185,85 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
+def sentences(text: str) -> str:
+    """The sentences of a text in lower case, one blank between words and a stop between sentences."""
+    text = text.lower()
+    if SPACED.search(text):
+        text = SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), text)
+    return STOP.join(f" {t} " for x in BREAK.split(text) if (t := " ".join(x.split())))
+
+
+def letters(text: str) -> np.ndarray:
+    return _code[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+
+
+def places(codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each way to place the letters: the last letter's place, the gaps, and for each place the subsequence that begins there and whether it is whole."""
+    n = len(codes)
+    c = np.zeros(n + SPAN, np.int64)
+    c[:n] = codes
+    there = c > 0
+    for a in range(1, SPAN):
+        two, both = c[:n] * LETTERS + c[a : a + n], there[:n] & there[a : a + n]
+        for b in range(a + 1, SPAN):
+            three, all3 = two * LETTERS + c[b : b + n], both & there[b : b + n]
+            yield b, b - 2, three + LETTERS**4, all3
+            for d in range(b + 1, SPAN):
+                yield d, d - 3, three * LETTERS + c[d : d + n], all3 & there[d : d + n]
+
+
+def window_scores(codes: np.ndarray, table: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """The decision value of the worst window that begins at each place, and its width; ``table`` is 0 for subsequences that are not whole."""
+    out, width = np.full(len(codes), -1e9), np.zeros(len(codes), np.int64)
+    most = max(WIDTHS)
+    for lo in range(0, len(codes), CHUNK):
+        part = codes[lo : lo + CHUNK + most]
+        n = min(CHUNK, len(codes) - lo)
+        sums, found = np.zeros((SPAN, SPAN - 2, len(part)), np.float32), np.zeros((SPAN, SPAN - 2, len(part)), np.uint8)
+        for last, gaps, key, whole in places(part):
+            sums[last, gaps] += table[key]
+            found[last, gaps] += whole
+        # Sums over the subsequences that begin, and that end, before each place.
+        begun, ended = np.zeros((2, 2, len(part) + most + 1))
+        for last in range(2, SPAN):
+            for gaps in {last - 2, max(0, last - 3)}:
+                for i, own in enumerate((np.float32(DECAY**gaps) * sums[last, gaps], np.float32(DECAY ** (2 * gaps)) * found[last, gaps])):
+                    begun[i, 1 : len(part) + 1] += own
+                    ended[i, 1 + last : 1 + last + len(part)] += own
+        np.cumsum(begun, 1, out=begun)
+        np.cumsum(ended, 1, out=ended)
+        for w in WIDTHS:
+            total = ended[:, w : w + n] - begun[:, :n]
+            v = total[0] / np.sqrt(np.maximum(total[1], 1.0)) + bias
+            better = v > out[lo : lo + n]
+            out[lo : lo + n][better] = v[better]
+            width[lo : lo + n][better] = w
+    return out, width
+
+
+def worst_places(v: np.ndarray) -> np.ndarray:
+    """The worst window's place in each run of as many places as a window has at most."""
+    most = max(WIDTHS)
+    full = np.full(-(-len(v) // most) * most, -1e9)
+    full[: len(v)] = v
+    return full.reshape(-1, most).argmax(1) + most * np.arange(len(full) // most)
+
+
 class Scorer:
-    """Scores of texts; remembers words within REMEMBERED."""
+    """Scores of texts."""
 
     def __init__(self, table: np.ndarray, bias: float, line: np.ndarray | None):
-        self.table, self.bias, self.line, self.known = table, bias, line, {}
-
-    def __reduce__(self):
-        return Scorer, (self.table, self.bias, self.line)
+        self.table, self.bias, self.line = table, bias, line
 
     def shape(self, texts: list[str | None]) -> np.ndarray:
-        """Per text the decision of its worst word, the mean of its three worst, and the root of the soft count of words near insults; -2, -2 and 0 without words."""
+        """Per text the decision of its worst window, the mean of its three worst, and the root of the soft count of windows near insults; -2, -2 and 0 without words."""
         out = np.tile([-2.0, -2.0, 0.0], (len(texts), 1))
-        for lo in range(0, len(texts), 64):
-            own = [set(tokens(t)) if t else set() for t in texts[lo : lo + 64]]
-            new = [w for w in set().union(*own) if w not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set().union(*own))
-            if new:
-                self.known.update(zip(new, score_words(new, self.table, self.bias).tolist(), strict=True))
-            for i, words in enumerate(own):
-                if words:
-                    v = np.fromiter(map(self.known.__getitem__, words), float, len(words))
-                    top = np.sort(np.partition(v, len(v) - min(3, len(v)))[-3:])
-                    out[lo + i] = min(1.0, max(-2.0, top[-1])), max(-2.0, (top.sum() - 2.0 * (3 - len(top))) / 3), np.sqrt(np.clip((v - 0.3) / 0.5, 0, 1).sum())
+        for i, text in enumerate(texts):
+            if text and (own := sentences(text)):
+                v, _ = window_scores(letters(own), self.table, self.bias)
+                v = v[worst_places(v)]
+                top = np.sort(np.partition(v, len(v) - min(3, len(v)))[-3:])
+                out[i] = min(1.0, max(-1.999, top[-1])), max(-2.0, (top.sum() - 2.0 * (3 - len(top))) / 3), np.sqrt(np.clip((v - 0.3) / 0.5, 0, 1).sum())
         return out
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
@@ -208,54 +274,74 @@ class Scorer:
         return np.where(x[:, 0] <= -2.0, 0.0, p)
 
 
-def fit(sample: DataFrame, words: int = 6000, landmarks: int = LANDMARKS) -> Scorer:
-    """A scorer from a bounded sample (text, label) of labelled documents, and ``words`` words of them."""
-
-    def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for label, texts in frame.groupby("label")["text"]:
-                found: dict[str, int] = {}
-                for t in texts:
-                    for w in {w[: PLACES - 2] for w in tokens(t)}:
-                        found[w] = found.get(w, 0) + 1
-                yield pd.DataFrame({"word": list(found), "toxic": np.array(list(found.values())) * label, "clean": np.array(list(found.values())) * (1 - label)})
-
-    counts = sample.mapInPandas(distinct, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Scorer:
+    """A scorer from a bounded sample (text, label) of labelled documents."""
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Scorer(np.zeros(TABLE, np.float32), 0.0, None)
-    rate = sizes[1] / sizes[0]
-    counts = counts.withColumn("odds", F.expr(f"ln((toxic + 0.1) / (clean * {rate} + 0.1))"))
-    # Words of toxic documents alone, against common words, words nearly as frequent in toxic texts, and a draw of the rest.
-    worst = counts.where("toxic >= 3 and odds > 2.5").orderBy(F.desc("toxic"), "word").limit(words // 4).toPandas()
-    common = counts.where("clean > 0 and odds <= 1").orderBy(F.desc("clean"), "word").limit(words // 3).toPandas()
-    drawn = counts.where("clean > 0 and odds <= 1").orderBy(F.xxhash64("word"), "word").limit(words // 2).toPandas()
-    rank = dict(zip(worst["word"], worst["toxic"].tolist(), strict=True))
-
-    def standing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            own = [sorted({w for w in (w[: PLACES - 2] for w in tokens(t)) if w in rank}, key=lambda w: (-rank[w], w))[:3] for t in frame["text"]]
-            yield pd.DataFrame({"word": [w for x in own for w in x]}, dtype="object")
 
-    stand = sample.where("label = 1").select("text").mapInPandas(standing, "word string").groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").toPandas()
-    worst = worst[worst["word"].isin(stand["word"])]
-    ok = pd.concat([common, drawn]).drop_duplicates("word")
-    if not len(worst) or not len(ok):
-        return Scorer(np.zeros(TABLE, np.float32), 0.0, None)
-    marks = list(worst["word"][: landmarks // 2])
-    marks += list(ok["word"].iloc[:: max(1, len(ok) // (landmarks - len(marks)))][: landmarks - len(marks)])
-    train = list(worst["word"]) + list(ok["word"])
-    y = np.r_[np.ones(len(worst)), -np.ones(len(ok))]
-    weight = np.r_[worst["toxic"].to_numpy(float) ** 0.5 / (worst["toxic"].to_numpy(float) ** 0.5).sum(), np.full(len(ok), 1.0 / len(ok))]
-    value, vector = np.linalg.eigh(kernel(marks, marks))
-    keep = value > 1e-4 * value.max()
-    white = vector[:, keep] / np.sqrt(value[keep])
-    w = svm(kernel(train, marks) @ white, y, weight)
-    beta = white @ w[:-1]
-    # The landmarks fold into one weight for each subsequence.
-    row, key, own = features(marks)
-    table = np.bincount(key, beta[row] * own, TABLE).astype(np.float32)
-    plain = Scorer(table, float(w[-1]), None)
+    def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros((2, TABLE), np.int32)
+        for frame in frames:
+            for text, label in zip(frame["text"], frame["label"], strict=True):
+                own = np.zeros(TABLE, bool)
+                for _, _, key, whole in places(letters(sentences(text))):
+                    own[key[whole]] = True
+                found[label] += own
+        key = np.nonzero(found.any(0))[0]
+        yield pd.DataFrame({"key": key, "toxic": found[1, key], "clean": found[0, key]})
+
+    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, list[int]] = {}
+        for frame in frames:
+            for text, label in zip(frame["text"], frame["label"], strict=True):
+                for w in {w[: PLACES - 2] for w in tokens(text)}:
+                    found.setdefault(w, [0, 0])[label] += 1
+        n = np.array(list(found.values()), np.int64).reshape(-1, 2)
+        yield pd.DataFrame({"word": pd.Series(list(found), dtype="object"), "toxic": n[:, 1], "clean": n[:, 0]})
+
+    # Whole words that toxic documents have and clean ones hardly train beside the windows, each as it stands and broken by a blank.
+    seen = sample.mapInPandas(words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    odds = f"ln((toxic + 0.1) / (clean * {sizes[1] / sizes[0]} + 0.1)) > 2.5"
+    seeds = seen.where(f"toxic >= 3 and {odds}").toPandas().sort_values(["toxic", "word"], ascending=[False, True], ignore_index=True)
+    whole = [f" {w} " for w in seeds["word"]]
+    broken = [f"{w[: len(w) // 2]} {w[len(w) // 2 :]}" for w in whole]
+    known = seeds["toxic"].to_numpy(float) ** 0.5
+    counts = sample.mapInPandas(distinct, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
+    toxic, clean = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
+    table = np.zeros(TABLE, np.float32)
+    table[counts["key"].to_numpy()] = np.log((toxic + 1) / (sizes[1] + 2)) - np.log((clean + 1) / (sizes[0] + 2))
+    # The less is known of a subsequence the nearer to 0.
+    table[counts["key"].to_numpy()] *= (toxic / (toxic + 3)) ** 0.5
+    del counts, seen, seeds, toxic, clean
+    bias, before = 0.0, None
+    for _ in range(ROUNDS):
+        got = _standing(sample, table, bias)
+        # Clean windows that broke an earlier round's margin stay.
+        before = got = pd.concat([got, *([] if before is None else [before[before["kind"] == 0]])]).drop_duplicates().sort_values(["kind", "window"], ignore_index=True)
+        bad, ok = (got[got["kind"] == k] for k in (1, 0))
+        if not len(bad) or not len(ok):
+            return Scorer(np.zeros(TABLE, np.float32), 0.0, None)
+        half = landmarks // 2
+        marks = whole[: half // 3] + broken[: half // 6]
+        marks += list(bad["window"].iloc[:: max(1, len(bad) // (half - len(marks)))][: half - len(marks)])
+        marks += list(ok["window"].iloc[:: max(1, len(ok) // (landmarks - len(marks)))][: landmarks - len(marks)])
+        train = list(bad["window"]) + whole + broken + list(ok["window"])
+        y = np.r_[np.ones(len(bad) + 2 * len(whole)), -np.ones(len(ok))]
+        share = 0.5 if len(whole) else 0.0  # of the toxic weight, for the words
+        weight = np.r_[np.full(len(bad), (1 - share) / len(bad)), np.tile(share / 2 * known / max(known.sum(), 1.0), 2), np.full(len(ok), 1.0 / len(ok))]
+        value, vector = np.linalg.eigh(kernel(marks, marks, ""))
+        keep = value > 1e-4 * value.max()
+        white = vector[:, keep] / np.sqrt(value[keep])
+        x = np.empty((len(train), white.shape[1]), np.float32)
+        for lo in range(0, len(train), 8192):
+            x[lo : lo + 8192] = kernel(train[lo : lo + 8192], marks, "") @ white
+        w = svm(x, y, weight, PENALTY)
+        del x
+        # The landmarks fold into one weight for each subsequence.
+        row, key, own = features(marks, "")
+        table, bias = np.bincount(key, (white @ w[:-1])[row] * own, TABLE).astype(np.float32), float(w[-1])
+    plain = Scorer(table, bias, None)
 
     def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -267,6 +353,34 @@ def fit(sample: DataFrame, words: int = 6000, landmarks: int = LANDMARKS) -> Sco
     return plain
 
 
+def _standing(sample: DataFrame, table: np.ndarray, bias: float) -> pd.DataFrame:
+    """(window, kind) of the windows that stand for the sample's documents, in order of their text: the worst of each, and as many evenly drawn ones of clean documents."""
+
+    def stand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for text, label in zip(frame["text"], frame["label"], strict=True):
+                own = sentences(text)
+                if not own:
+                    continue
+                v, width = window_scores(letters(own), table, bias)
+                at = worst_places(v)
+                worst = at[np.argsort(-v[at], kind="stable")[:STANDING]]
+                if label:  # one window at least, more while they are nearly as bad
+                    worst = worst[v[worst] >= v[worst[0]] - 0.2 * abs(v[worst[0]])]
+                else:
+                    worst = np.unique(np.r_[worst, at[:: max(1, len(at) // STANDING)][:STANDING]])
+                for i in worst.tolist():
+                    w = own[i : i + width[i]].strip("\x01")
+                    # As it stands, and with a blank put into it: what is broken by one is as toxic.
+                    k = 2 + i % max(1, len(w) - 3)
+                    rows += [(w, label), (f"{w[:k]} {w[k:]}", label)]
+            yield pd.DataFrame(rows, columns=["window", "kind"])
+
+    got = sample.mapInPandas(stand, "window string, kind int").toPandas()
+    return got.sort_values(["kind", "window"], kind="stable", ignore_index=True)
+
+
 def predict(docs: DataFrame, scorer: Scorer, text_col: str, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``, their names behind ``prefix``."""
 

@@ -129,6 +129,41 @@ def test_toxicity_on_held_out_documents(spark, odd_docs, no_docs):
     assert toxicity.toxicity(no_docs, labels).count() == 0
 
 
+def test_windows_are_the_kernel_and_cross_blanks():
+    rng = np.random.default_rng(1)
+    table = rng.normal(size=toxicity.TABLE).astype(np.float32)
+    digits = np.arange(toxicity.TABLE)
+    four = digits < toxicity.LETTERS**4
+    rest = np.where(four, digits, digits - toxicity.LETTERS**4)
+    table[(rest % 32 == 0) | (rest // 32 % 32 == 0) | (rest // 1024 % 32 == 0) | four & (rest // 32768 == 0)] = 0
+    own = toxicity.sentences("You are an id iot. Yes, so it is!")
+    v, width = toxicity.window_scores(toxicity.letters(own), table, 0.0)
+    texts = [own[i : i + w] for i, w in enumerate(width) if i + w <= len(own)]
+    rows, keys, values = toxicity.features(texts, "")
+    assert np.allclose(np.bincount(rows, table[keys] * values, len(texts)), v[: len(texts)], atol=1e-5)
+    k = toxicity.kernel([" id iot ", " as much "], [" idiot "], "")
+    assert k[0, 0] > 4 * k[1, 0]
+
+
+def test_toxicity_of_insults_broken_by_a_blank(spark):
+    import random
+
+    from pathloom.llm.folds import fold
+    from pathloom.llm.store import cut
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.fit(cut(toxicity.train_sample(docs, labels)))
+    held = docs.join(labels.where("toxic = 0"), "doc_id").where(fold("doc_id", 3) == 1).where("length(text) between 200 and 6000").orderBy("doc_id").limit(150)
+    rng, broken = random.Random(1), ["mo ron", "id iot", "clo wn", "stu pid", "path etic", "worth less"]
+    texts = []
+    for r in held.select("text").collect():
+        words = r.text.split(" ")
+        for _ in range(3):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(broken))
+        texts.append(" ".join(words))
+    assert (scorer(texts) >= toxicity.THRESHOLD).mean() > 0.5
+
+
 # SentencePiece -------------------------------------------------------------------------------------------------------------
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
