@@ -15,16 +15,26 @@ How it holds at scale
   counts over all documents; at most 2**22 shingles of 32 bits are broadcast,
   because the limit rises with the number of occurrences.
 * Posted shingles travel as packed arrays; those of a single set end there.
-* First, in a few rounds, each set is compared with a few others (linear), and
-  links are joined into components. The exact join that follows pairs only sets
-  of different components, so a group of near copies never becomes all of its
-  pairs. It counts shared prefix shingles and discards pairs
+* First, in rounds that go on while they link, each set is compared with a few
+  others of its lists, the least edited one among them (linear), and links are
+  joined into components. The exact join that follows pairs only sets of
+  different components, so a group of near copies never becomes all of its
+  pairs; a set just outside a group is still paired with those of its members
+  that the bounds admit. It counts shared prefix shingles and discards pairs
   whose count plus what lies behind the prefix stays below the bound.
-* Joins on hot keys are plain equi-joins, which AQE splits.
+* Occurrences of a shingle are counted per batch before they travel; postings
+  of frequent shingles are dealt by set and shingle, so no task holds the list
+  of one. Joins on hot keys are plain equi-joins, which AQE splits.
+
+Hashes: a set is known by 64 bits (two of N different sets meet with a chance
+of N**2 / 2**65); overlaps of whole sets are counted on 48 bits of each shingle
+(an overlap of n and m shingles is one too large with a chance of n m / 2**48).
 
 Defined results: null or empty texts, and texts without a word, have
 ``n_shingles`` 0, link with nothing and are their own component; a null id
-keeps its row. Repeated rows each keep a row. Other columns pass unseen.
+keeps its row. Repeated rows each keep a row, very long texts are read whole,
+an empty table gives no rows. Columns other than id and text pass unseen, so
+none can clash.
 """
 
 from __future__ import annotations
@@ -46,9 +56,10 @@ MAX_FREQUENT = 1 << 22
 POSTING = np.dtype([("sh", "<u4"), ("fp", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("last", "<u4"), ("late", "<u4")])
 COMPARED = 64  # in longer lists every posting counts as having a possible partner
 PER_BLOCK = 400_000
-ROUNDS = 3
+ROUNDS = 8
+YIELD = 200  # a round in which fewer comparisons than one in so many link is the last
 DRAWS = 4
-LOW_40 = np.uint64((1 << 40) - 1)
+SHORT = 48  # bits of a shingle in whole sets
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -82,20 +93,34 @@ def _scan(k: int):
             if not sizes:
                 continue
             yield _rows(batch.column(0), np.full(len(batch), -1), np.concatenate(sizes), np.concatenate(prints).view(np.int64), None)
-            top = np.sort(np.concatenate(tops))
+            top, df = np.unique(np.concatenate(tops), return_counts=True)
             cuts = np.searchsorted(top, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(22))
             own, blobs = [], []
             for b in np.flatnonzero(np.diff(cuts)):
-                low = top[cuts[b] : cuts[b + 1]] & np.uint32((1 << 22) - 1)
-                step = np.diff(low, prepend=np.uint32(0))
                 own.append(b)
-                blobs.append(b"\2" + step.astype("<u2").tobytes() if step.max() < 1 << 16 else b"\4" + step.astype("<u4").tobytes())
+                blobs.append(_counted(top[cuts[b] : cuts[b + 1]] & np.uint32((1 << 22) - 1), df[cuts[b] : cuts[b + 1]]))
             none = pa.nulls(len(own), pa.int64())
             yield _rows(none, np.array(own, np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), blobs)
 
     return run
 
 
+def _counted(low: np.ndarray, df: np.ndarray) -> bytes:
+    """Sorted distinct numbers as deltas, then the places and counts of those that occur more than once."""
+    step = np.diff(low, prepend=np.uint32(0))
+    width = 2 if step.max() < 1 << 16 else 4
+    more = np.flatnonzero(df > 1)
+    return np.array([width, len(low)], "<u4").tobytes() + step.astype(f"<u{width}").tobytes() + more.astype("<u4").tobytes() + df[more].astype("<u4").tobytes()
+
+
+def _recounted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width, n = np.frombuffer(blob, "<u4", 2).tolist()
+    more = np.frombuffer(blob, "<u4", offset=8 + width * n).reshape(2, -1)
+    df = np.ones(n, np.int64)
+    df[more[0]] = more[1]
+    return np.cumsum(np.frombuffer(blob, f"<u{width}", n, 8), dtype=np.uint32), df
+
+
 def _rows(ids, bucket, n, fp, blobs) -> pa.RecordBatch:
     columns = [ids, pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(blobs, pa.binary()) if blobs is not None else pa.nulls(len(n), pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["id", "bucket", "n", "fp", "blob"])
@@ -107,14 +132,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def frequent():
         if counts is None:
-            low, df = np.unique(np.concatenate(waiting), return_counts=True)
-            low, df = low[df >= MIN_FREQUENT], df[df >= MIN_FREQUENT]
+            all_low, own = np.concatenate([x for x, _ in waiting]), np.concatenate([n for _, n in waiting])
+            low, at = np.unique(all_low, return_inverse=True)
+            df = np.bincount(at, own).astype(np.int64)
         else:
-            for x in waiting:
-                np.add.at(counts, x, 1)
-            low = np.flatnonzero(counts >= MIN_FREQUENT)
+            for x, n in waiting:
+                counts[x] += n
+            low = np.flatnonzero(counts)
             df = counts[low]
-        return pa.RecordBatch.from_arrays([pa.array((now << 22) + low.astype(np.int64), pa.int64()), pa.array(df, pa.int64())], ["top", "df"])
+        keep = df >= MIN_FREQUENT
+        return pa.RecordBatch.from_arrays([pa.array((now << 22) + low[keep].astype(np.int64), pa.int64()), pa.array(df[keep], pa.int64())], ["top", "df"])
 
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -122,19 +149,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now >= 0:
                     yield frequent()
                 now, waiting, held, counts = bucket, [], 0, None
-            waiting.append(np.cumsum(np.frombuffer(blob, f"<u{blob[0]}", offset=1), dtype=np.uint32))
-            held += len(waiting[-1])
+            waiting.append(_recounted(blob))
+            held += len(waiting[-1][0])
             if held > 1 << 22:
                 counts = np.zeros(1 << 22, np.int64) if counts is None else counts
-                for x in waiting:
-                    np.add.at(counts, x, 1)
+                for x, n in waiting:  # distinct in each
+                    counts[x] += n
                 waiting, held = [], 0
     if now >= 0:
         yield frequent()
 
 
 def _post(k: int, num: int, den: int, frequent: np.ndarray, bits: int):
-    """The prefixes of all sets as packed postings, by the top ``bits`` bits of the shingle."""
+    """The prefixes of all sets as packed postings: by the top ``bits`` bits of the shingle, frequent ones by set and shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,32 +172,34 @@ def _post(k: int, num: int, den: int, frequent: np.ndarray, bits: int):
                 prints = _prints(sizes, row, sh)
                 top = (sh >> W.U(32)).astype(np.uint32)
                 if len(frequent):
-                    late = frequent[np.minimum(np.searchsorted(frequent, top), len(frequent) - 1)] == top
+                    rank = np.minimum(np.searchsorted(frequent, top), len(frequent) - 1)
+                    late = frequent[rank] == top
                     order = np.lexsort((sh, late, row))
-                    sh = sh[order]
+                    sh, rank, late = sh[order], rank[order], late[order]
+                else:
+                    rank, late = np.zeros(len(sh), np.int64), np.zeros(len(sh), bool)
                 ends = np.cumsum(sizes)
                 pos = np.arange(len(sh)) - (ends - sizes)[row]
                 prefix = sizes - (sizes * num + den - 1) // den + 1
                 keep = pos < prefix[row]
                 last = (sh >> W.U(33)).astype(np.uint32)  # the order's key, to 32 bits
-                if len(frequent):
-                    last |= late[order].astype(np.uint32) << np.uint32(31)
+                last |= late.astype(np.uint32) << np.uint32(31)
                 last = last[np.maximum(0, ends - sizes + prefix - 1)[row]]
-                own_late = late[order] if len(frequent) else np.zeros(len(sh), bool)
-                lates = np.bincount(row[keep], own_late[keep], len(sizes)).astype(np.int64)  # of a prefix
-                post = np.zeros(int(keep.sum()), POSTING)
-                post["sh"] = ((sh[keep] << W.U(bits)) >> W.U(32)).astype(np.uint32)
-                post["fp"], post["n"], post["pos"], post["last"] = prints[row[keep]], sizes[row[keep]], pos[keep], last[keep]
-                post["late"] = lates[row[keep]] << 1 | own_late[keep]
-                tops.append((sh[keep] >> W.U(64 - bits)).astype(np.int32))
+                lates = np.bincount(row[keep], late[keep], len(sizes)).astype(np.int64)  # of a prefix
+                sh, rank, late, row = sh[keep], rank[keep], late[keep], row[keep]
+                post = np.zeros(len(sh), POSTING)
+                post["sh"] = np.where(late, rank, ((sh << W.U(bits)) >> W.U(32)).astype(np.int64))
+                post["fp"], post["n"], post["pos"], post["last"] = prints[row], sizes[row], pos[keep], last[keep]
+                post["late"] = lates[row] << 1 | late
+                tops.append((np.where(late, W.mix(sh ^ prints[row]), sh) >> W.U(64 - bits)).astype(np.int32))
                 posts.append(post)
             if not posts:
                 continue
             top, post = np.concatenate(tops), np.concatenate(posts)
-            order = np.lexsort((post["fp"], post["sh"], top))
+            order = np.lexsort((post["fp"], post["sh"], post["late"] & 1, top))
             top, post = top[order], post[order]
             if len(post):  # equal sets in one batch are one posting
-                keep = np.r_[True, (top[1:] != top[:-1]) | (post["sh"][1:] != post["sh"][:-1]) | (post["fp"][1:] != post["fp"][:-1])]
+                keep = np.r_[True, (top[1:] != top[:-1]) | _differ(post)]
                 top, post = top[keep], post[keep]
             cuts = np.searchsorted(top, np.arange((1 << bits) + 1))
             own = np.flatnonzero(np.diff(cuts))
@@ -179,6 +208,11 @@ def _post(k: int, num: int, den: int, frequent: np.ndarray, bits: int):
     return run
 
 
+def _differ(post: np.ndarray) -> np.ndarray:
+    """Whether a posting is another than the one before: of another set, shingle or kind."""
+    return (post["sh"][1:] != post["sh"][:-1]) | (post["fp"][1:] != post["fp"][:-1]) | ((post["late"][1:] ^ post["late"][:-1]) & 1 > 0)
+
+
 def _possible(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether the set sizes allow a link."""
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
@@ -186,16 +220,17 @@ def _possible(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _shared(num: int, den: int):
-    """Of one block's postings, those with a possible partner under the same shingle."""
+    """Of one block's postings, those with a possible partner under the same shingle; frequent shingles have one."""
 
     def lists(block: int, blobs: list[bytes]) -> pa.RecordBatch:
         post = np.concatenate([np.frombuffer(b, POSTING) for b in blobs])
-        post = post[np.lexsort((post["fp"], post["sh"]))]
-        post = post[np.r_[True, (post["sh"][1:] != post["sh"][:-1]) | (post["fp"][1:] != post["fp"][:-1])]]
-        first = np.flatnonzero(np.r_[True, post["sh"][1:] != post["sh"][:-1]])
+        post = post[np.lexsort((post["fp"], post["sh"], post["late"] & 1))]
+        post = post[np.r_[True, _differ(post)]]
+        late = (post["late"] & 1).astype(bool)
+        first = np.flatnonzero(np.r_[True, (post["sh"][1:] != post["sh"][:-1]) | (late[1:] != late[:-1])])
         size = np.diff(np.r_[first, len(post)])
         rep, size = np.repeat(first, size), np.repeat(size, size)
-        keep = size > COMPARED
+        keep = late | (size > COMPARED)
         at = np.flatnonzero((size > 1) & ~keep)
         for step in range(1, COMPARED):
             at = at[at + step < rep[at] + size[at]]
@@ -203,8 +238,8 @@ def _shared(num: int, den: int):
                 break
             both = _possible(post[at], post[at + step], num, den)
             keep[at[both]] = keep[at[both] + step] = True
-        post = post[keep]
-        columns = [(np.int64(block) << 32) + post["sh"].astype(np.int64), post["fp"].view(), *(post[c].astype(np.int64) for c in ("n", "pos", "last")), (post["late"] >> 1).astype(np.int64), (post["late"] & 1).astype(np.int64)]
+        post, late = post[keep], late[keep]
+        columns = [np.where(late, -1 - post["sh"].astype(np.int64), (np.int64(block) << 32) + post["sh"].astype(np.int64)), post["fp"].view(), *(post[c].astype(np.int64) for c in ("n", "pos", "last")), (post["late"] >> 1).astype(np.int64), (post["late"] & 1).astype(np.int64)]
         columns = [np.ascontiguousarray(c).view(np.int64) for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sh", "fp", "n", "pos", "last", "lates", "late"])
 
@@ -246,7 +281,7 @@ def _bloom(fps: DataFrame, count: int) -> np.ndarray:
 
 
 def _fetch(k: int, bloom: np.ndarray):
-    """The sets (40 bits a shingle, sorted) of the documents in the filter, equal sets of a batch once."""
+    """The sets (SHORT bits a shingle, sorted) of the documents in the filter, equal sets of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = bloom.dtype == np.uint8
@@ -261,17 +296,17 @@ def _fetch(k: int, bloom: np.ndarray):
                 ends = np.cumsum(sizes)
                 for i in np.flatnonzero(have):
                     if (fp := int(prints[i])) not in found:
-                        own = np.sort(sh[ends[i] - sizes[i] : ends[i]] & LOW_40)
-                        found[fp] = own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                        own = np.sort(sh[ends[i] - sizes[i] : ends[i]] & W.U((1 << SHORT) - 1))
+                        found[fp] = own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SHORT // 8].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), W.U).view(np.int64)), pa.array(found.values(), pa.binary())], ["fp", "blob"])
 
     return run
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(b) // 5 for b in blobs])
+    sizes = np.array([len(b) // (SHORT // 8) for b in blobs])
     wide = np.zeros((int(sizes.sum()), 8), np.uint8)
-    wide[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    wide[:, : SHORT // 8] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, SHORT // 8)
     return sizes, wide.view("<u8").ravel()
 
 
@@ -284,9 +319,9 @@ def _verify(num: int, den: int, step: int = 2000):
                 part = batch.slice(i, step)
                 na, a = _unpack(part.column(2).to_pylist())
                 nb, b = _unpack(part.column(3).to_pylist())
-                pair = [np.repeat(np.arange(len(part), dtype=np.uint64) << W.U(40), n) for n in (na, nb)]
+                pair = [np.repeat(np.arange(len(part), dtype=np.uint64) << W.U(SHORT), n) for n in (na, nb)]
                 both = np.sort(np.concatenate([a + pair[0], b + pair[1]]))
-                met = both[1:][both[1:] == both[:-1]] >> W.U(40)
+                met = both[1:][both[1:] == both[:-1]] >> W.U(SHORT)
                 overlap = np.bincount(met.astype(np.int64), minlength=len(part))
                 keep = den * overlap >= num * (na + nb - overlap)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in part.columns[:2]], ["a", "b"])
@@ -339,19 +374,21 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
         both = named.groupBy("sh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sh")
         return cut(named.join(both, "sh"))
 
-    # First a few rounds in which DRAWS sets, drawn anew each time, stand for each list, and each set is compared with
-    # those of another component that stand for most of its lists.
+    # First a few rounds in which DRAWS sets stand for each list, the one with most frequent shingles in its prefix (the
+    # least edited of a group of near copies) and others drawn anew each time, and each set is compared with those of
+    # another component that stand for most of its lists. They go on while comparisons link.
     found, label = [], None
     for turn in range(ROUNDS):
         named = mixed(label)
-        drawn = [F.min_by(F.struct(F.lit(i).alias("draw"), F.col("fp").alias("other"), F.col("root").alias("its"), F.col("n").alias("size")), F.xxhash64("fp", F.lit(turn), F.lit(i))) for i in range(DRAWS)]
+        row = lambda i: F.struct(F.lit(i).alias("draw"), F.col("fp").alias("other"), F.col("root").alias("its"), F.col("n").alias("size"))
+        drawn = [F.max_by(row(0), F.struct("lates", F.xxhash64("fp", F.lit(turn)))), *(F.min_by(row(i), F.xxhash64("fp", F.lit(turn), F.lit(i))) for i in range(1, DRAWS))]
         chosen = named.groupBy("sh").agg(F.array(*drawn).alias("drawn")).select("sh", F.inline("drawn"))
         beside = named.join(chosen, "sh").where(f"root <> its and {den} * n >= {num} * size and {den} * size >= {num} * n")
         stars = beside.groupBy("fp", "draw", "other").agg(F.count("*").alias("met"), F.max("n").alias("n")).where("16 * met >= n")
         stars = stars.groupBy("fp", "draw").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
         stars = cut(stars.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct())
         links = cut(_verified(stars, sets, num, den))
-        few = links.count() * 20 < own_rows
+        few = links.count() * YIELD < stars.count()
         drop(named, stars)
         found.append(links)
         if label is not None:
@@ -369,9 +406,9 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_co
     rest = f"CASE WHEN a.last < b.last THEN {behind.format('a', num, den)} WHEN a.last > b.last THEN {behind.format('b', num, den)} ELSE greatest({behind.format('a', num, den)}, {behind.format('b', num, den)}) END"
     sizes = f"a.root < b.root and {den} * a.n >= {num} * b.n and {den} * b.n >= {num} * a.n"
     first = f"(a.late = 0 or {num + den} * least(a.n - a.pos, b.n - b.pos) >= {num} * (a.n + b.n))"
-    cross = a.join(b, F.expr(f"a.sh = b.sh and {sizes} and {first}")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.expr("a.n + b.n").alias("n"), F.expr(f"{rest} + least(a.lates, b.lates)").alias("rest"), F.col("a.late").alias("late"))
-    cross = cross.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("n").alias("n"), F.max("rest").alias("rest"), F.max("late").alias("late"))
-    cross = cut(cross.where(f"late = 1 or {num + den} * (met + rest) >= {num} * n").select("a", "b"))
+    cross = a.join(b, F.expr(f"a.sh = b.sh and {sizes} and {first}")).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), F.expr("a.n + b.n").alias("n"), F.expr(f"{rest} + least(a.lates, b.lates)").alias("rest"), F.expr("1 - a.late").alias("rare"))
+    cross = cross.groupBy("a", "b").agg(F.sum("rare").alias("met"), F.max("n").alias("n"), F.max("rest").alias("rest"))
+    cross = cut(cross.where(f"{num + den} * (met + rest) >= {num} * n").select("a", "b"))
     links = cut(_verified(cross, sets, num, den))
     if not links.isEmpty():
         found.append(links)

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pathloom.llm.components import components
-from pathloom.llm.ngram_join import ngram_join
+from pathloom.llm.ngram_join import _counted, _recounted, ngram_join
 
 from .conftest import prose
 
@@ -56,6 +57,27 @@ def test_against_brute_force(spark, seed):
     assert got(spark, rows) == brute(rows)
 
 
+def test_one_large_group_and_a_passage(spark):
+    """300 near copies of one text, those that share its frequent shingles just below the threshold, and a passage that strangers share."""
+    rng = random.Random(5)
+    base, passage = prose(rng, 90).split(), prose(rng, 80)
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, f"{prose(rng, rng.choice([5, 20, 26, 27, 60]))} {passage}") for i in range(120)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_counts_of_shingle_prefixes():
+    low = np.unique(np.random.default_rng(1).integers(0, 1 << 22, 5000)).astype(np.uint32)
+    for df in (np.ones(len(low), np.int64), np.arange(len(low)) % 5 + 1):
+        back = _recounted(_counted(low, df))
+        assert (back[0] == low).all() and (back[1] == df).all()
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(odd_docs).collect()), key=str)
