@@ -9,14 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; where that is unset, a folder of a master that runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def for_texts(spark: SparkSession) -> SparkSession:
     """The session with Arrow batches of rows that hold whole texts: 1000 at a time, unless the user set a number."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,13 +2,13 @@
 
 The kernel of two strings sums, over all subsequences of three and of four
 letters (a blank counts as a letter, and may be a gap) that both have within six places, decay to the power of the places each
-spans (gaps included), divided by the strings' own weights. Characters put into
+spans (gaps included), divided by the strings' own lengths. Characters put into
 an insult, a blank too, only stretch what it shares with it, so spaced, starred,
 broken or misspelt insults stay near it, and so do insults of several words.
 
 A sentence is read as all windows of 7 to 12 places (WIDTHS) over its characters (runs of
 single characters are joined first); it is as toxic as its worst window, a
-document as its worst windows. Only documents are labelled, so labels are passed
+document as the number of its windows near insults (worst ones of neighbours). Only documents are labelled, so labels are passed
 to windows in rounds: at first by the odds of every subsequence in toxic and
 clean training documents, then by the last round's SVM. Each round a document's
 worst windows stand for it (of a clean document they are those that break the
@@ -20,9 +20,15 @@ by 20 lookups a character, whatever their number.
 
 Scoring is one pass without a shuffle. Memory follows the longest text.
 
+Bounds: at most about ``most`` labelled documents of each class train. Letters
+other than a-z share four codes (LETTERS), so scripts beyond Latin are told
+apart less well.
+
 Defined results: null and empty texts score the prior of an empty text (0).
 With one class only, or no labels, all scores are 0. Ties in the draws go to
-the window that sorts first. Repeated rows each keep a row.
+the window that sorts first. Repeated rows each keep a row, very long texts are
+read whole, an empty table gives no rows. ``predict`` replaces columns that have
+its new columns' names; ``toxicity`` returns its own columns only.
 """
 
 from __future__ import annotations
@@ -44,26 +50,30 @@ DECAY = 0.7
 TABLE = LETTERS**4 + LETTERS**3
 END = 31  # the letter for a word's ends
 PLACES = 28  # longer words are windows of this many places that overlap by half
-LANDMARKS = 320
+LANDMARKS = 1000
 WIDTHS = (7, 8, 9, 10, 12)  # places of a window, none below SPAN
 CHUNK = 1 << 15
 ROUNDS = 2
-PENALTY = 1e-3
+PENALTY = 2e-4
 STANDING = 3  # a document's worst windows that train
 THRESHOLD = 0.7
-TOXIC_SHARE = 0.3
+NEAR = 0.3  # a window's decision value from which it begins to count
+TOXIC_SHARE = 0.4
 STEPS = [x for n in (2, 3) for x in combinations(range(1, SPAN), n)]  # the other letters' places after the first
 STOP = "\x01" * SPAN  # no subsequence reaches over it
+GAP = "\x01" * max(WIDTHS)  # and over this no window
 BREAK = re.compile(r"[.!?]+(?:\s|\Z)")
 SPACED = re.compile(r"(?:(?<!\S)\S[^\S\n]){2,}\S(?!\S)")
 
-_code = np.zeros(0x10000, np.uint8)
-for _c in range(0x80, 0x10000):
+_code = np.zeros(0x110000, np.uint8)
+for _c in range(0x80, 0x110000):
     if chr(_c).isalpha():
         _code[_c] = 27 + _c % 4
 for _i in range(26):
     _code[97 + _i] = _code[65 + _i] = 1 + _i
 _code[0] = _code[32] = END
+_blank = np.zeros(0x110000, bool)
+_blank[[_c for _c in range(0x3001) if chr(_c).isspace()]] = True
 
 
 def tokens(text: str) -> list[str]:
@@ -88,14 +98,14 @@ def windows(words: list[str], ends: str = "\0") -> tuple[np.ndarray, np.ndarray]
                 owner.append(i)
     text = "".join(w.ljust(PLACES, "\x01") for w in cut)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _code[np.minimum(points, 0xFFFF)].reshape(-1, PLACES), np.array(owner, np.int64)
+    return _code[points].reshape(-1, PLACES), np.array(owner, np.int64)
 
 
 def subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each way to place the letters: their number, where all are letters, and the weight."""
     c = codes.astype(np.int32)
     for steps in STEPS:
-        last = PLACES - steps[-1]
+        last = codes.shape[1] - steps[-1]
         key, whole = c[:, :last], c[:, :last] > 0
         for a in steps:
             key = key * LETTERS + c[:, a : last + a]
@@ -103,49 +113,58 @@ def subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, fl
         yield key + LETTERS**4 * (len(steps) == 2), whole, DECAY ** (steps[-1] - len(steps))
 
 
+def sparse(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subsequences of each window, equal ones summed and the whole of length 1: (window, subsequence, value)."""
+    keys, values = [], []
+    for key, whole, weight in subsequences(codes):
+        r, p = np.nonzero(whole)
+        keys.append(r * TABLE + key[r, p])
+        values.append(np.full(len(r), weight))
+    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    values = np.bincount(at, np.concatenate(values), len(own))
+    rows, keys = own // TABLE, own % TABLE
+    square = np.bincount(rows, values * values, len(codes))
+    return rows, keys, values / np.sqrt(square[rows])
+
+
 def score_words(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """The decision value of each word: its worst window's."""
     out = np.full(len(words), -1e9)
-    for lo in range(0, len(words), 20_000):
-        codes, owner = windows(words[lo : lo + 20_000])
-        total, square = np.zeros(len(codes)), np.full(len(codes), 1e-9)
-        for key, whole, weight in subsequences(codes):
-            total += weight * (table[key] * whole).sum(1)
-            square += weight * weight * whole.sum(1)
-        np.maximum.at(out, lo + owner, total / np.sqrt(square) + bias)
+    for lo in range(0, len(words), 5000):
+        codes, owner = windows(words[lo : lo + 5000])
+        rows, keys, values = sparse(codes)
+        np.maximum.at(out, lo + owner, np.bincount(rows, table[keys] * values, len(codes)) + bias)
     return out
 
 
 def features(words: list[str], ends: str = "\0") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse subsequence features of words (first window), scaled by the word's own weight: (word, subsequence, value)."""
-    codes, owner = windows([w[: PLACES - 2] for w in words], ends)
-    rows, keys, values = [], [], []
-    square = np.full(len(codes), 1e-9)
-    for key, whole, weight in subsequences(codes):
-        r, p = np.nonzero(whole)
-        rows.append(r)
-        keys.append(key[r, p])
-        values.append(np.full(len(r), weight))
-        square += weight * weight * whole.sum(1)
-    rows, keys, values = map(np.concatenate, (rows, keys, values))
-    return rows, keys, values / np.sqrt(square)[rows]
-
-
-def kernel(words: list[str], landmarks: list[str], ends: str = "\0") -> np.ndarray:
-    """Kernels of words with landmarks, over the subsequences that the landmarks have."""
-    lr, lk, lv = features(landmarks, ends)
-    known, column = np.unique(lk, return_inverse=True)
-    dense = np.zeros((len(known), len(landmarks)), np.float32)
-    np.add.at(dense, (column, lr), lv)
-    out = np.zeros((len(words), len(landmarks)))
-    for lo in range(0, len(words), 500):
-        r, k, v = features(words[lo : lo + 500], ends)
-        at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-        keep = np.nonzero(known[at] == k)[0]
-        keep = keep[np.argsort(r[keep], kind="stable")]
-        if len(keep):
-            rows, first = np.unique(r[keep], return_index=True)
-            out[lo + rows] = np.add.reduceat(dense[at[keep]] * v[keep, None].astype(np.float32), first)
+    """The subsequence features of words of up to PLACES places, their ends included (of longer ones the first window)."""
+    return sparse(windows([w[: PLACES - 2 * len(ends)] for w in words], ends)[0])
+
+
+def kernel(words: list[str], landmarks: list[str], ends: str = "\0", white: np.ndarray | None = None) -> np.ndarray:
+    """Kernels of words with landmarks, over the subsequences that the landmarks have, 50 landmarks at a time.
+
+    With ``white`` their products with it, in half precision: all features of all training windows are held at once.
+    """
+    blocks = []
+    for lo in range(0, len(landmarks), 50):
+        lr, lk, lv = features(landmarks[lo : lo + 50], ends)
+        known, column = np.unique(lk, return_inverse=True)
+        dense = np.zeros((len(known), len(landmarks[lo : lo + 50])), np.float32)
+        np.add.at(dense, (column, lr), lv)
+        blocks.append((lo, known, dense))
+    out = np.zeros((len(words), len(landmarks) if white is None else white.shape[1]), np.float32 if white is None else np.float16)
+    for first in range(0, len(words), 500):
+        r, k, v = features(words[first : first + 500], ends)
+        own = np.zeros((len(words[first : first + 500]), len(landmarks)), np.float32)
+        for lo, known, dense in blocks:
+            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+            keep = np.flatnonzero(known[at] == k)  # in order of words
+            if len(keep):
+                rows, starts = np.unique(r[keep], return_index=True)
+                own[rows, lo : lo + dense.shape[1]] = np.add.reduceat(dense[at[keep]] * v[keep, None].astype(np.float32), starts)
+        out[first : first + 500] = own if white is None else own @ white
     return out
 
 
@@ -158,7 +177,7 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3,
     for _ in range(rounds):
         left, right = ridge.copy(), np.zeros(len(w))
         for lo in range(0, len(x), 4096):
-            part, sign = np.c_[x[lo : lo + 4096], np.ones(len(x[lo : lo + 4096]))], y[lo : lo + 4096]
+            part, sign = np.c_[x[lo : lo + 4096].astype(np.float64), np.ones(len(x[lo : lo + 4096]))], y[lo : lo + 4096]
             active = sign * (part @ w) < 1
             xa, wa = part[active], weight[lo : lo + 4096][active]
             left += xa.T @ (xa * wa[:, None])
@@ -170,31 +189,44 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3,
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Slopes and intercept of a lightly regularised logistic regression; toxic rows weigh TOXIC_SHARE in all."""
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Slope and intercept of a lightly regularised logistic regression; toxic rows weigh TOXIC_SHARE in all."""
     x = np.c_[x, np.ones(len(x))]
     weight = np.where(y > 0, TOXIC_SHARE / max(1, (y > 0).sum()), (1 - TOXIC_SHARE) / max(1, (y <= 0).sum())) * len(y)
-    w = np.zeros(x.shape[1])
+    w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + 1e-2 * w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-2 * np.eye(2), x.T @ (weight * (p - y)) + 1e-2 * w)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return float(w[0]), float(w[1])
 
 
-def sentences(text: str) -> str:
-    """The sentences of a text in lower case, one blank between words and a stop between sentences."""
-    text = text.lower()
-    if SPACED.search(text):
-        text = SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), text)
-    return STOP.join(f" {t} " for x in BREAK.split(text) if (t := " ".join(x.split())))
+def _lone(texts: list[str]) -> np.ndarray:
+    """Whether three lone characters follow one another anywhere in a text, as SPACED needs it."""
+    blank = _blank[np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    out = np.zeros(len(texts), bool)
+    if len(blank) > 6:
+        lone = blank[:-2] & ~blank[1:-1] & blank[2:]
+        hits = np.flatnonzero(lone[:-4] & lone[2:-2] & lone[4:])  # of the blank before
+        out[np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), hits, "right")] = True
+    return out
+
+
+def sentences(texts: list[str]) -> list[str]:
+    """The sentences of each text in lower case, one blank between words and a stop between sentences."""
+    out = []
+    texts = [t.lower() for t in texts]
+    for text, lone in zip(texts, _lone(texts).tolist(), strict=True):
+        if lone:
+            text = SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), text)
+        out.append(STOP.join(f" {t} " for x in BREAK.split(text) if (t := " ".join(x.split()))))
+    return out
 
 
 def letters(text: str) -> np.ndarray:
-    return _code[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+    return _code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def places(codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -212,35 +244,77 @@ def places(codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
                 yield d, d - 3, three * LETTERS + c[d : d + n], all3 & there[d : d + n]
 
 
-def window_scores(codes: np.ndarray, table: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
-    """The decision value of the worst window that begins at each place, and its width; ``table`` is 0 for subsequences that are not whole."""
-    out, width = np.full(len(codes), -1e9), np.zeros(len(codes), np.int64)
+def window_scores(codes: np.ndarray, table: np.ndarray, bias: float, floor: float = -1e9) -> tuple[np.ndarray, np.ndarray]:
+    """The decision value of the worst window that begins at each place, and its width; ``table`` is 0 for subsequences that are not whole.
+
+    A running sum takes a window's length from each placement alone, which is too small where a subsequence occurs twice
+    and so puts the window too far from the bias. The windows that this puts above ``floor`` get their kernel's own
+    length; what stays below a floor above the bias is below it in either reading.
+    """
+    out, width = np.full(len(codes), -1e9, np.float32), np.zeros(len(codes), np.uint8)
     most = max(WIDTHS)
     for lo in range(0, len(codes), CHUNK):
         part = codes[lo : lo + CHUNK + most]
-        n = min(CHUNK, len(codes) - lo)
-        sums, found = np.zeros((SPAN, SPAN - 2, len(part)), np.float32), np.zeros((SPAN, SPAN - 2, len(part)), np.uint8)
+        n, size = min(CHUNK, len(codes) - lo), len(part)
+        weights: dict[tuple[int, int], list[np.ndarray]] = {}
         for last, gaps, key, whole in places(part):
-            sums[last, gaps] += table[key]
-            found[last, gaps] += whole
-        # Sums over the subsequences that begin, and that end, before each place.
-        begun, ended = np.zeros((2, 2, len(part) + most + 1))
-        for last in range(2, SPAN):
-            for gaps in {last - 2, max(0, last - 3)}:
-                for i, own in enumerate((np.float32(DECAY**gaps) * sums[last, gaps], np.float32(DECAY ** (2 * gaps)) * found[last, gaps])):
-                    begun[i, 1 : len(part) + 1] += own
-                    ended[i, 1 + last : 1 + last + len(part)] += own
-        np.cumsum(begun, 1, out=begun)
-        np.cumsum(ended, 1, out=ended)
+            if (own := weights.get((last, gaps))) is None:
+                weights[last, gaps] = [table.take(key, mode="clip"), whole.astype(np.uint8)]
+            else:
+                own[0] += table.take(key, mode="clip")
+                own[1] += whole
+        # Sums over the subsequences that begin, and that end, before each place: of decisions and of squared weights.
+        edges = np.zeros((2, 2, size + most + 1), np.float32)
+        for (last, gaps), (decision, found) in weights.items():
+            for i, own in enumerate((decision * np.float32(DECAY**gaps), found * np.float32(DECAY ** (2 * gaps)))):
+                edges[i, 0, 1 : size + 1] += own
+                edges[i, 1, 1 + last : 1 + last + size] += own
+        (begun, ended), (begun_square, ended_square) = np.cumsum(edges, 2, np.float64)
+        now, now_width = out[lo : lo + n], width[lo : lo + n]
         for w in WIDTHS:
-            total = ended[:, w : w + n] - begun[:, :n]
-            v = total[0] / np.sqrt(np.maximum(total[1], 1.0)) + bias
-            better = v > out[lo : lo + n]
-            out[lo : lo + n][better] = v[better]
-            width[lo : lo + n][better] = w
+            v = (ended[w : w + n] - begun[:n]).astype(np.float32)
+            square = (ended_square[w : w + n] - begun_square[:n]).astype(np.float32)
+            v /= np.sqrt(np.maximum(square, np.float32(1), out=square), out=square)
+            better = v > now
+            np.copyto(now, v, where=better)
+            np.copyto(now_width, np.uint8(w), where=better)
+    out = out.astype(np.float64) + bias
+    width = width.astype(np.int64)
+    high = np.flatnonzero(out > floor)
+    if len(high):
+        out[high] = whole_scores(cut_out(codes, high, width[high]), table, bias)
     return out, width
 
 
+def cut_out(codes: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The windows of these widths that begin at these places, a row each."""
+    i = at[:, None] + np.arange(max(WIDTHS))
+    return np.where((i < len(codes)) & (np.arange(max(WIDTHS)) < width[:, None]), codes[np.minimum(i, len(codes) - 1)], 0)
+
+
+def whole_scores(own: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+    """The decision values of windows by their kernel's own length."""
+    out = np.empty(len(own))
+    for lo in range(0, len(own), 5000):
+        rows, keys, values = sparse(own[lo : lo + 5000])
+        out[lo : lo + 5000] = np.bincount(rows, table[keys] * values, len(own[lo : lo + 5000])) + bias
+    return out
+
+
+def _runs(texts: list[str | None]) -> Iterator[list[int]]:
+    """The numbers of the texts that have any characters, in runs of about CHUNK characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for i, text in enumerate(texts):
+        if text:
+            if run and size + len(text) > CHUNK:
+                yield run
+                run, size = [], 0
+            run.append(i)
+            size += len(text)
+    if run:
+        yield run
+
+
 def worst_places(v: np.ndarray) -> np.ndarray:
     """The worst window's place in each run of as many places as a window has at most."""
     most = max(WIDTHS)
@@ -252,26 +326,36 @@ def worst_places(v: np.ndarray) -> np.ndarray:
 class Scorer:
     """Scores of texts."""
 
-    def __init__(self, table: np.ndarray, bias: float, line: np.ndarray | None):
+    def __init__(self, table: np.ndarray, bias: float, line: tuple[float, float] | None):
         self.table, self.bias, self.line = table, bias, line
 
-    def shape(self, texts: list[str | None]) -> np.ndarray:
-        """Per text the decision of its worst window, the mean of its three worst, and the root of the soft count of windows near insults; -2, -2 and 0 without words."""
-        out = np.tile([-2.0, -2.0, 0.0], (len(texts), 1))
-        for i, text in enumerate(texts):
-            if text and (own := sentences(text)):
-                v, _ = window_scores(letters(own), self.table, self.bias)
-                v = v[worst_places(v)]
-                top = np.sort(np.partition(v, len(v) - min(3, len(v)))[-3:])
-                out[i] = min(1.0, max(-1.999, top[-1])), max(-2.0, (top.sum() - 2.0 * (3 - len(top))) / 3), np.sqrt(np.clip((v - 0.3) / 0.5, 0, 1).sum())
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """Per text the root of the soft count of its windows near insults; -1 without words."""
+        out, near, owner = np.full(len(texts), -1.0), [], []
+        for some in _runs(texts):
+            own = sentences([texts[i] for i in some])
+            # One array for all: no window that begins in a text reaches the next.
+            codes = letters(GAP.join(own))
+            v, width = window_scores(codes, self.table, self.bias, np.inf)
+            first = 0
+            for i, t in zip(some, own, strict=True):
+                if t:
+                    at = worst_places(v[first : first + len(t)]) + first
+                    at = at[v[at] > max(NEAR, self.bias)]
+                    near.append(cut_out(codes, at, width[at]))
+                    owner.append(np.full(len(at), i))
+                    out[i] = 0.0
+                first += len(t) + len(GAP)
+        if near:
+            v = whole_scores(np.concatenate(near), self.table, self.bias)
+            out[out == 0] = np.sqrt(np.bincount(np.concatenate(owner), np.clip((v - NEAR) / 0.5, 0, 1), len(texts)))[out == 0]
         return out
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if self.line is None:
             return np.zeros(len(texts))
-        x = self.shape(texts)
-        p = 1 / (1 + np.exp(-np.clip(x @ self.line[:-1] + self.line[-1], -30, 30)))
-        return np.where(x[:, 0] <= -2.0, 0.0, p)
+        x = self.counts(texts)
+        return np.where(x < 0, 0.0, 1 / (1 + np.exp(-np.clip(x * self.line[0] + self.line[1], -30, 30))))
 
 
 def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Scorer:
@@ -285,7 +369,7 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Scorer:
         for frame in frames:
             for text, label in zip(frame["text"], frame["label"], strict=True):
                 own = np.zeros(TABLE, bool)
-                for _, _, key, whole in places(letters(sentences(text))):
+                for _, _, key, whole in places(letters(sentences([text])[0])):
                     own[key[whole]] = True
                 found[label] += own
         key = np.nonzero(found.any(0))[0]
@@ -295,12 +379,13 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Scorer:
         found: dict[str, list[int]] = {}
         for frame in frames:
             for text, label in zip(frame["text"], frame["label"], strict=True):
-                for w in {w[: PLACES - 2] for w in tokens(text)}:
+                for w in {w for w in tokens(text) if len(w) <= PLACES - 2}:
                     found.setdefault(w, [0, 0])[label] += 1
         n = np.array(list(found.values()), np.int64).reshape(-1, 2)
         yield pd.DataFrame({"word": pd.Series(list(found), dtype="object"), "toxic": n[:, 1], "clean": n[:, 0]})
 
-    # Whole words that toxic documents have and clean ones hardly train beside the windows, each as it stands and broken by a blank.
+    # Whole words that toxic documents have and clean ones hardly train beside the windows, each as it stands and broken by
+    # a blank; those longer than a window train through their windows alone.
     seen = sample.mapInPandas(words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = f"ln((toxic + 0.1) / (clean * {sizes[1] / sizes[0]} + 0.1)) > 2.5"
     seeds = seen.where(f"toxic >= 3 and {odds}").toPandas().sort_values(["toxic", "word"], ascending=[False, True], ignore_index=True)
@@ -330,12 +415,10 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Scorer:
         y = np.r_[np.ones(len(bad) + 2 * len(whole)), -np.ones(len(ok))]
         share = 0.5 if len(whole) else 0.0  # of the toxic weight, for the words
         weight = np.r_[np.full(len(bad), (1 - share) / len(bad)), np.tile(share / 2 * known / max(known.sum(), 1.0), 2), np.full(len(ok), 1.0 / len(ok))]
-        value, vector = np.linalg.eigh(kernel(marks, marks, ""))
+        value, vector = np.linalg.eigh(kernel(marks, marks, "").astype(np.float64))
         keep = value > 1e-4 * value.max()
         white = vector[:, keep] / np.sqrt(value[keep])
-        x = np.empty((len(train), white.shape[1]), np.float32)
-        for lo in range(0, len(train), 8192):
-            x[lo : lo + 8192] = kernel(train[lo : lo + 8192], marks, "") @ white
+        x = kernel(train, marks, "", white)
         w = svm(x, y, weight, PENALTY)
         del x
         # The landmarks fold into one weight for each subsequence.
@@ -343,13 +426,12 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Scorer:
         table, bias = np.bincount(key, (white @ w[:-1])[row] * own, TABLE).astype(np.float32), float(w[-1])
     plain = Scorer(table, bias, None)
 
-    def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = plain.shape(frame["text"].tolist())
-            yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "label": frame["label"]})
+            yield pd.DataFrame({"x": plain.counts(frame["text"].tolist()), "label": frame["label"]})
 
-    got = sample.mapInPandas(shapes, "a double, b double, c double, label int").orderBy("a", "b", "c", "label").toPandas()
-    plain.line = logistic(got[["a", "b", "c"]].to_numpy(), got["label"].to_numpy())
+    got = sample.mapInPandas(counts, "x double, label int").toPandas().sort_values(["x", "label"], ignore_index=True)
+    plain.line = logistic(got["x"].to_numpy(), got["label"].to_numpy())
     return plain
 
 
@@ -360,10 +442,10 @@ def _standing(sample: DataFrame, table: np.ndarray, bias: float) -> pd.DataFrame
         for frame in frames:
             rows = []
             for text, label in zip(frame["text"], frame["label"], strict=True):
-                own = sentences(text)
+                own = sentences([text])[0]
                 if not own:
                     continue
-                v, width = window_scores(letters(own), table, bias)
+                v, width = window_scores(letters(own), table, bias, np.inf)
                 at = worst_places(v)
                 worst = at[np.argsort(-v[at], kind="stable")[:STANDING]]
                 if label:  # one window at least, more while they are nearly as bad
@@ -392,7 +474,7 @@ def predict(docs: DataFrame, scorer: Scorer, text_col: str, threshold: float = T
     return out.withColumn(prefix + "predicted", F.when(F.col(prefix + "score") >= threshold, 1).otherwise(0).cast("int"))
 
 
-def train_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = 6000) -> DataFrame:
+def train_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, most: int = 4000) -> DataFrame:
     """(text, label) of about ``most`` labelled documents of each class at most, none of the held-out fold, equal texts once.
 
     A document with several labels has its largest. The sample's ids are bounded by ``most``, so they are broadcast and

@@ -129,14 +129,33 @@ def test_toxicity_on_held_out_documents(spark, odd_docs, no_docs):
     assert toxicity.toxicity(no_docs, labels).count() == 0
 
 
-def test_windows_are_the_kernel_and_cross_blanks():
-    rng = np.random.default_rng(1)
+def random_table(rng):
+    """Random weights of all subsequences that are whole."""
     table = rng.normal(size=toxicity.TABLE).astype(np.float32)
     digits = np.arange(toxicity.TABLE)
     four = digits < toxicity.LETTERS**4
     rest = np.where(four, digits, digits - toxicity.LETTERS**4)
     table[(rest % 32 == 0) | (rest // 32 % 32 == 0) | (rest // 1024 % 32 == 0) | four & (rest // 32768 == 0)] = 0
-    own = toxicity.sentences("You are an id iot. Yes, so it is!")
+    return table
+
+
+def test_scores_do_not_depend_on_the_batch():
+    import random
+
+    from .conftest import prose
+
+    rng, draw = random.Random(3), np.random.default_rng(3)
+    scorer = toxicity.Scorer(random_table(draw), -0.5, (1.0, -1.0))
+    texts = [prose(rng, rng.choice([1, 5, 300])) + rng.choice(["", " i d i o t", "\n", " a b", "\U0001f600"]) for _ in range(60)] + [None, "", " ", "x", prose(rng, 9000)]
+    alone = np.array([scorer([t])[0] for t in texts])
+    assert np.allclose(scorer(texts), alone, atol=1e-6) and (alone[60:63] == 0).all()
+    assert toxicity.sentences(["You i d i o t now. A b", "b c d"]) == [" you idiot now " + toxicity.STOP + " a b ", " bcd "]
+
+
+def test_windows_are_the_kernel_and_cross_blanks():
+    rng = np.random.default_rng(1)
+    table = random_table(rng)
+    own = toxicity.sentences(["You are an id iot. Yes, so it is!"])[0]
     v, width = toxicity.window_scores(toxicity.letters(own), table, 0.0)
     texts = [own[i : i + w] for i, w in enumerate(width) if i + w <= len(own)]
     rows, keys, values = toxicity.features(texts, "")
@@ -180,11 +199,23 @@ def test_pieces_against_the_library(spark, odd_docs, no_docs):
     for i, t in enumerate(texts):
         assert out[i].ids == lib.encode(t) and out[i].n_tokens == len(out[i].ids)
         assert back[i].text == t.replace(MARK, " ") and out[i].round_trip == (MARK not in t)
+    runs = [" " * n for n in range(1, 70)] + ["a" + " " * 1000 + "b", " \n" * 40]
+    assert [x.tolist() for x in Encoder(Vocabulary.load(MODEL)).encode(runs)] == [lib.encode(t) for t in runs]
+    nulls = decode(spark.createDataFrame([(1, None), (2, []), (3, lib.encode("a b"))], "k int, ids array<int>"), MODEL)
+    assert [r.text for r in nulls.orderBy("k").collect()] == [None, "", "a b"]
     odd = encode(odd_docs, MODEL).collect()
     assert len(odd) == 11 and all(r.round_trip for r in odd)
     assert encode(no_docs, MODEL).count() == 0
 
 
+def test_long_runs_of_blanks_take_no_square():
+    import time
+
+    e, start = Encoder(Vocabulary.load(MODEL)), time.time()
+    ids = e.encode([" " * 200_000])[0]
+    assert e.decode(ids, np.array([len(ids)])) == [b" " * 200_000] and time.time() - start < 20
+
+
 def test_unigram_viterbi_against_all_segmentations():
     pieces = ["<unk>", "▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "cab"]
     scores = [0, -3.0, -2.5, -2.6, -2.7, -3.1, -3.3, -5.05, -3.2, -4.1, -3.9]
@@ -198,6 +229,6 @@ def test_unigram_viterbi_against_all_segmentations():
     words = sorted({MARK + "".join(p) for n in range(5) for p in __import__("itertools").product("abc", repeat=n)})
     for w, ids in e.encode_sorted(words):
         assert abs(sum(scores[k] for k in ids) - best(w)) < 1e-9 and "".join(pieces[k] for k in ids) == w
-    assert [i.tolist() for i in e.encode(["az"])[0]] == [[8, 0]]
+    assert [i.tolist() for i in e.encode(["az"])] == [[8, 0]]
     with pytest.raises(ValueError):
         Encoder(Vocabulary(["a▁b"], [0.0], [False], [-1], 0, True))
