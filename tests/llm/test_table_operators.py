@@ -89,11 +89,63 @@ def test_extraction(spark):
     rows = [(1, "http://a.net/1", page, 5), (1, "http://a.net/1", page, 5), (2, None, plain, 5), (3, "http://a.net/3", None, 5), (4, "u", "", None), (None, "http://a.net/4", "<p>" * 2000 + "deep", 1), (5, "http://a.net/5", "<article>" + "<p>w" * 3000, 1), (6, "http://a.net/6", "a <b", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
     out = {r.page_id: r for r in html_text.extract_text(df).collect()}
-    assert out[1].text == "A & B\none two three\nfour five&am" and out[2].text == "x\ny\ntail\n1\n2"
+    assert out[1].text == "A & B\none two three\nfour five&am" and out[2].text == "x\ny\ntail\nno\n1\n2"
     assert [out[i].text for i in (3, 4, None)] == ["", "", "deep"] and out[5].n_chars == 5999 and out[6].text == "a"
     assert html_text.extract_text(df).count() == 8 and html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_names_of_layouts_are_no_furniture():
+    body = "<article class='{}'><h1>A</h1><p>b</p><div class='{}'>c</div></article>"
+
+    def text(html):
+        return [t for _, t in html_text.parse(html)[0]]
+
+    for name in ("has-sidebar", "no-comments", "home menu", "widget", "single with-comments footer"):
+        assert text(f"<html class='{name}'><body class='{name}'>{body.format('post', 'x')}</body></html>") == ["A", "b", "c"]
+    assert text(body.format("post has-related", "wrap no-sidebar")) == ["A", "b", "c"]
+    assert text(body.format("share", "comments")) == ["A", "b"]
+    assert text("<main class='search'><p>a</p><article class='comment'><p>me too</p></article></main>") == ["a"]
+    assert text("<div class='layout has-sidebar'><p>a</p></div><div class='sidebar'>s</div>") == ["a"]
+
+
+def test_deep_and_odd_nesting_takes_linear_time():
+    import time
+
+    start = time.time()
+    for html in ("<div>" * 50_000 + "deep", "<p><table><td>" + "<div>x" * 30_000, "<article>" + "<ul><li>w" * 20_000 + "</section>" * 20_000, "<body>" * 30_000 + "t", "<p>a" * 50_000 + "</div>" * 50_000):
+        blocks, children, _ = html_text.parse(html)
+        assert blocks and all(len(nodes) <= html_text.DEPTH for nodes, _ in blocks)
+    assert time.time() - start < 20
+    assert [t for _, t in html_text.parse("<div>" * 70 + "a<p>b</p>" + "</div>" * 70 + "c")[0]] == ["a", "b", "c"]
+
+
+def test_importance_against_plain_counting(spark):
+    from collections import Counter, defaultdict
+    from math import log
+
+    rng = random.Random(8)
+    pages = []
+    for i in range(24):
+        extra = "".join(f"<p class='x{rng.randrange(3)}'>{rng.choice('abc')}</p>" for _ in range(rng.randrange(3)))
+        pages.append(f"<body><div class='top'><p>same</p></div><div class='mid'><p>{prose(rng, 6)}</p>{extra}</div></body>")
+    parsed = [html_text.parse(p) for p in pages]
+    shown, texts, on = defaultdict(Counter), defaultdict(Counter), Counter()
+    for blocks, children, _ in parsed:
+        for node in {n for nodes, _ in blocks for n in nodes}:
+            on[node] += 1
+            shown[node][" ".join(children.get(node, ()))] += 1
+            texts[node].update({t for nodes, t in blocks if node in nodes})
+    want = {}
+    for node, m in on.items():
+        if m >= html_text.LEAST_PAGES:
+            presentation = -sum(n / m * log(n / m) for n in shown[node].values()) / log(m)
+            content = 1 - sum(log(n) for n in texts[node].values()) / len(texts[node]) / log(m)
+            share = html_text.DECAY ** len(shown[node])
+            want[node] = (1 - share) * presentation + share * max(content, 0.0)
+    got = {r.node: r.importance for r in html_text.style_tree(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
 def test_style_tree_removes_what_every_page_has(spark):
     rng = random.Random(2)
     pages = [(i, f"http://s.net/{i}", f"<body><div class='x1'><p>Same words on all pages</p></div><div class='x2'><p>{prose(rng, 20)}</p><p>{prose(rng, 9)}</p></div></body>") for i in range(30)]
@@ -161,11 +213,46 @@ def test_vectors_against_brute_force(spark, seed):
     assert got == brute(ids, x)  # recall 1
 
 
+def test_vectors_of_several_lengths_and_sizes(spark, monkeypatch):
+    """An index for each common length, rare lengths directly, components beyond what can be squared, ids that are null."""
+    from pathloom.llm import embedding_dedup as E
+
+    monkeypatch.setattr(E, "SMALL", 40)
+    monkeypatch.setattr(E, "BLOCK", 64)
+    rng = np.random.default_rng(7)
+    by_length = {}
+    for length, n in ((8, 30), (16, 120), (24, 90), (3, 5)):
+        seeds = rng.normal(size=(n, length))
+        by_length[length] = np.concatenate([seeds, seeds[: n // 2] * rng.choice([1e-200, 1.0, 1e250], (n // 2, 1)) * (1 + rng.normal(scale=0.1, size=(n // 2, length)))])
+    rows, want = [], {}
+    for x in by_length.values():
+        ids = list(range(len(rows), len(rows) + len(x)))
+        rows += [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+        want |= brute(ids, x / np.abs(x).max(1, keepdims=True))
+    rng.shuffle(rows)
+    out = embedding_dedup(spark.createDataFrame([(int(i), v) for i, v in rows], "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+    some = [(1, [1e200, 0.0]), (2, [1.0, 0.0]), (None, [3.0, 0.0]), (None, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1e-320, 0.0])]
+    out = embedding_dedup(spark.createDataFrame(some, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in out), key=str) == sorted([(1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (5, 3, 1, False), (None, 0, None, True), (3, 1, 3, True), (4, 1, 3, False)], key=str)
+
+
+def test_recall_on_the_drivers_vectors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x = np.stack(docs.embedding).astype(np.float64)
+    near = np.concatenate([x, x[:300] + np.random.default_rng(2).normal(scale=0.25 * np.abs(x).mean(), size=(300, x.shape[1]))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id long, embedding array<float>")
+    want = brute(list(range(len(near))), near.astype(np.float64))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(df).collect()}
+    found, there = sum(n for n, _ in got.values()), sum(n for n, _ in want.values())
+    assert there > 200 and there * 0.99 <= found <= there
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [0.0, 1.0])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, id long, key long")
     out = embedding_dedup(df).collect()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out}
-    assert len(out) == 12 and got[1] == (2, 1, True) and got[2] == (2, 1, False)
+    assert len(out) == 12 and got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[None] == (3, 1, False)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10))
     assert embedding_dedup(df.limit(0)).count() == 0
