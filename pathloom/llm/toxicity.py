@@ -169,23 +169,29 @@ def kernel(words: list[str], landmarks: list[str], ends: str = "\0", white: np.n
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """A linear SVM with squared hinge loss and a bias, by Newton steps."""
-    w = np.zeros(x.shape[1] + 1)
-    ridge = penalty * np.eye(len(w))
-    ridge[-1, -1] = 1e-9
+    """A linear SVM with squared hinge loss and a bias, by Newton steps, each halved until the loss falls."""
+    w, step, best = np.zeros(x.shape[1] + 1), None, np.inf
+    ridge = np.full(len(w), penalty)
+    ridge[-1] = 1e-9
     weight = weight / weight.sum()
     for _ in range(rounds):
-        left, right = ridge.copy(), np.zeros(len(w))
-        for lo in range(0, len(x), 4096):
-            part, sign = np.c_[x[lo : lo + 4096].astype(np.float64), np.ones(len(x[lo : lo + 4096]))], y[lo : lo + 4096]
-            active = sign * (part @ w) < 1
-            xa, wa = part[active], weight[lo : lo + 4096][active]
+        left, slope, loss = np.diag(ridge), ridge * w, (ridge * w * w).sum()
+        for lo in range(0, len(x), 512):
+            part, sign = np.c_[x[lo : lo + 512].astype(np.float64), np.ones(len(x[lo : lo + 512]))], y[lo : lo + 512]
+            short = 1 - sign * (part @ w)
+            active = short > 0
+            xa, wa = part[active], weight[lo : lo + 512][active]
             left += xa.T @ (xa * wa[:, None])
-            right += xa.T @ (wa * sign[active])
-        new = np.linalg.solve(left, right)
-        if np.allclose(new, w, atol=1e-7):
+            slope -= xa.T @ (wa * sign[active] * short[active])
+            loss += (wa * short[active] ** 2).sum()
+        if loss > best * (1 + 1e-9):
+            step = step / 2
+            w = w - step
+            continue
+        if loss > best * (1 - 1e-6):
             break
-        w = new
+        best, step = loss, -np.linalg.solve(left, slope)
+        w = w + step
     return w
 
 
@@ -392,13 +398,13 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Scorer:
     whole = [f" {w} " for w in seeds["word"]]
     broken = [f"{w[: len(w) // 2]} {w[len(w) // 2 :]}" for w in whole]
     known = seeds["toxic"].to_numpy(float) ** 0.5
-    counts = sample.mapInPandas(distinct, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
-    toxic, clean = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
-    table = np.zeros(TABLE, np.float32)
-    table[counts["key"].to_numpy()] = np.log((toxic + 1) / (sizes[1] + 2)) - np.log((clean + 1) / (sizes[0] + 2))
+    counts = sample.mapInPandas(distinct, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # The less is known of a subsequence the nearer to 0.
-    table[counts["key"].to_numpy()] *= (toxic / (toxic + 3)) ** 0.5
-    del counts, seen, seeds, toxic, clean
+    odds = f"(ln((toxic + 1) / {sizes[1] + 2}) - ln((clean + 1) / {sizes[0] + 2})) * sqrt(toxic / (toxic + 3))"
+    counts = counts.where("toxic > 0").select(F.col("key").cast("int").alias("key"), F.expr(odds).cast("float").alias("odds")).toArrow()
+    table = np.zeros(TABLE, np.float32)
+    table[counts.column("key").to_numpy()] = counts.column("odds").to_numpy()
+    del counts, seen, seeds
     bias, before = 0.0, None
     for _ in range(ROUNDS):
         got = _standing(sample, table, bias)
