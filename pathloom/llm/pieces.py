@@ -19,19 +19,25 @@ of a bounded number of words; memory follows the longest text. The vocabulary
 (read on the driver, the path is a parameter) is shipped with the function, so
 executors need no file.
 
+``round_trip`` tells whether the bytes that a text's ids decode to are the text.
+
 Defined results: null and empty texts have no ids and decode to the empty text.
 A literal mark character in a text decodes to a blank, as in the library, so
-``round_trip`` is false there. Repeated rows each keep a row.
+``round_trip`` is false there. Repeated rows each keep a row; very long texts
+are whole, and time is linear in them (n log n in a run of blanks). An empty
+table gives no rows. Columns other than id and text pass unseen.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
@@ -80,7 +86,9 @@ class Encoder:
         self.split = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if "\n" not in self.alone else rf"{MARK}*[^{MARK}]+|{MARK}+")
         self.follows: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
-        self.lossy: set[str] = set()  # words that decode to others
+        self.flat = np.frombuffer(b"".join(self.text), np.uint8)
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
 
     def __reduce__(self):
         return Encoder, (self.vocabulary,)
@@ -88,16 +96,29 @@ class Encoder:
     def merged(self, text: str) -> list[int]:
         """Ids by merging neighbours: the pair with the best score first, the leftmost of equals."""
         parts, ids, scores = list(text), self.ids, self.vocabulary.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or scores[k] > best):
-                    best, at = scores[k], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [k for p in parts for k in self.one(p)]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple[float, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if i >= 0 and j < len(parts) and (k := ids.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(queue, (-scores[k], i, len(parts[i]) + len(parts[j])))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while queue:
+            _, i, size = heapq.heappop(queue)
+            j = after[i]
+            if not parts[i] or j >= len(parts) or len(parts[i]) + len(parts[j]) != size:
+                continue  # one of the two has been merged since
+            parts[i] += parts[j]
+            parts[j], after[i] = "", after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [k for p in parts if p for k in self.one(p)]
 
     def one(self, piece: str) -> list[int]:
         if piece in self.ids:
@@ -158,24 +179,25 @@ class Encoder:
             ids.reverse()
             yield word, ids
 
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether all its words decode to themselves."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
         units = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set().union(*units).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            self.lossy.clear()
             new = set().union(*units)
-        text = self.text
         for word, ids in self.encode_sorted(sorted(new)):
             self.known[word] = array("i", ids).tobytes()
-            if b"".join([text[k] for k in ids]) != word.replace(MARK, " ").encode("utf-8", "replace"):
-                self.lossy.add(word)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<i4") for own in units], [self.lossy.isdisjoint(own) for own in units] if self.lossy else [True] * len(units)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<i4") for own in units]
 
-    def decode(self, ids) -> str:
-        out = b"".join([self.text[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The UTF-8 text of each run of ids: the bytes of all pieces, without the blank that encoding put first."""
+        sizes = self.sizes[ids]
+        stops = np.cumsum(sizes)
+        at = np.arange(int(sizes.sum())) + np.repeat(self.firsts[ids] - (stops - sizes), sizes)
+        out, stops = self.flat[at].tobytes(), np.r_[0, stops]
+        cuts = stops[np.r_[0, ends]].tolist()
+        return [out[a + (out[a : a + 1] == b" ") : b] if a < b else b"" for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def encode(docs: DataFrame, model: str | Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,12 +210,12 @@ def encode(docs: DataFrame, model: str | Vocabulary, id_col: str = "doc_id", tex
             for lo in range(0, len(whole), 256):
                 batch = whole.slice(lo, 256)
                 texts = batch.column(1).to_pylist()
-                ids, whole_words = encoder.encode(texts)
+                ids = encoder.encode(texts)
                 sizes = np.array([len(x) for x in ids], np.int64)
                 flat = np.concatenate(ids) if len(ids) else np.zeros(0, "<i4")
                 ends = np.cumsum(sizes)
                 sums = np.r_[0, np.cumsum(is_byte[flat])]
-                same = [w and MARK not in (t or "") for w, t in zip(whole_words, texts, strict=True)]
+                same = [own == (t or "").encode("utf-8", "surrogatepass") for own, t in zip(encoder.decode(flat, ends), texts, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists, pa.array(sums[ends] - sums[ends - sizes]), pa.array(same)], ["id", "n_tokens", "ids", "n_bytes", "round_trip"])
 
@@ -203,13 +225,15 @@ def encode(docs: DataFrame, model: str | Vocabulary, id_col: str = "doc_id", tex
 
 
 def decode(tokens: DataFrame, model: str | Vocabulary, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``tokens`` with the text of its ids; null ids give null."""
-    import pandas as pd
-
+    """``tokens`` with the text of its ids; null ids give null. Bytes that are no UTF-8 become the replacement character."""
     encoder = Encoder(Vocabulary.load(model) if isinstance(model, str) else model)
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else encoder.decode(list(x)) for x in ids], dtype="object")
+    @F.arrow_udf("string")
+    def text(lists: pa.Array) -> pa.Array:
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = encoder.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(sizes))
+        null = lists.is_null().to_pylist()
+        return pa.array([None if gone else own.decode("utf-8", "replace") for gone, own in zip(null, out, strict=True)], pa.string())
 
     return tokens.withColumn(text_col, text(F.col(ids_col)))

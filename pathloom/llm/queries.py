@@ -13,7 +13,7 @@ from .language import language_id
 from .licenses import license_scan
 from .mixing import mix_sources
 from .ngram_join import ngram_join
-from .pieces import encode
+from .pieces import decode, encode
 from .quality import quality_rules
 from .reputation import url_filter
 from .store import for_texts
@@ -37,7 +37,8 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(_table(spark, sf_dir, "documents"), PIECES)
+    decoded = decode(encode(_table(spark, sf_dir, "documents"), PIECES), PIECES, text_col="decoded")
+    return decoded.withColumn("decoded_chars", F.length("decoded").cast("long")).drop("decoded")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
