@@ -5,9 +5,13 @@ chain of tags and classes). A node's presentation importance is the entropy of
 the child sequences it has, its content importance one minus the mean entropy
 of its texts' spread over pages: what looks and reads the same on every page of
 a host is furniture, what differs is content. Branches of low importance are
-removed. Elements whose names say what they are (menus, forms, adverts, ...)
-never count as text, and where a page marks its article only that counts, so
-hosts with few pages are cleaned as well.
+removed. What differs from page to page and still is no text (rotating adverts,
+reader comments, related links) no entropy can tell, nor anything on a host with
+few pages: elements whose names say what they are (menus, forms, adverts, ...)
+never count as text, and where a page marks its article only that counts. Names
+are those of an element itself: a class that only tells how a page is laid out
+(``has-sidebar``, ``no-comments``), and any class of ``html``, ``body`` or
+``main``, or of an article within no other, names nothing.
 
 Pages of a host whose text is the same (repeated rows, mirrors) count once, so
 what only copies share is not furniture; and where a marked article would lose
@@ -17,13 +21,15 @@ like, and it stays whole.
 How it holds at scale: pages are parsed one by one; copies are found by a hash
 of host and text, and the tree's rows are counted per batch and then by map-side
 combined aggregation over (host, node, value) hashes, so a host with a third of
-all pages is no group anywhere. Of the tree
-only nodes to be removed are kept. They are shipped with the function while
+all pages is no group anywhere. Chains end at DEPTH elements, and what is nested
+deeper counts to the last, so a page costs time and memory in proportion to its
+length however deep it is. Of the tree only nodes to be removed are kept. They are shipped with the function while
 there are at most 50,000; beyond that each page gets its host's list by a join.
 
 Defined results: a null or empty html gives an empty text. Markup that never
 ends is read to the end of the page; a broken reference stays as it is.
-Repeated rows each keep a row. Other columns pass unseen.
+Repeated rows each keep a row, an empty table gives no rows. Columns other than
+id, url and html pass unseen, so none can clash.
 """
 
 from __future__ import annotations
@@ -49,6 +55,9 @@ SKIPPED = set("head nav footer aside form button menu dialog search canvas audio
 #: Words of class, id and role that name furniture.
 FURNITURE = set("ad ads advert adverts advertisement advertising sponsor sponsored banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies reply search share sharing sidebar skip social subscribe toolbar widget".split())
 HEADING = {"header", "masthead"}
+#: A class that begins with one of these tells of a page's layout.
+LAYOUT = re.compile(r"(?:has|no|with|without|is|js|hide|show|not)[-_]")
+UNNAMED = {"html", "body", "main"}
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -56,6 +65,7 @@ RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 CLOSES_P = BLOCKS - {"html", "body"}
 
 SHIPPED = 50_000
+DEPTH = 64
 LEAST_PAGES = 5
 LOWEST = 0.3
 DECAY = 0.9
@@ -81,18 +91,33 @@ def _node(parent: int, name: str) -> int:
 
 
 def parse(html: str) -> tuple[list[tuple[tuple[int, ...], str]], dict[int, list[str]], bool]:
-    """The text blocks of a page outside furniture, each with its chain of nodes, the child names of each node, and whether the blocks are a marked article."""
+    """The text blocks of a page outside furniture, each with its chain of nodes, the child names of each node, and whether the blocks are a marked article.
+
+    Elements that a page hides are text like others: the contract drops what an element is, not how it is shown.
+    """
     stack: list[tuple[str, int, bool, bool]] = []  # tag, node, skipped, within an article
+    open_tags: Counter = Counter()
+    paragraphs: list[int] = []  # places of open p in the stack
+    walls: list[int] = []  # places of what an open p does not reach through
     blocks: list[Block] = []
     children: dict[int, list[str]] = {}
     now: Block | None = None
     at, end = 0, len(html)
+
+    def close(i: int) -> None:
+        for tag, *_ in stack[i:]:
+            open_tags[tag] -= 1
+        del stack[i:]
+        for places in (paragraphs, walls):
+            while places and places[-1] >= i:
+                places.pop()
+
     while at < end:
         m = TOKEN.search(html, at)
         stop = m.start() if m else end
         if stop > at and not (stack and stack[-1][2]):
             if now is None:
-                now = Block(tuple(s[1] for s in stack), bool(stack and stack[-1][3]))
+                now = Block(tuple(s[1] for s in stack[:DEPTH]), bool(stack and stack[-1][3]))
                 blocks.append(now)
             now.parts.append(html[at:stop])
         if m is None:
@@ -105,11 +130,11 @@ def parse(html: str) -> tuple[list[tuple[tuple[int, ...], str]], dict[int, list[
         if m[1]:
             if tag in BLOCKS:
                 now = None
-            if tag in BLOCKS or tag in SKIPPED:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+            if open_tags[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
             continue
         if tag in RAW_END:
             if not m[3].endswith("/"):
@@ -125,27 +150,32 @@ def parse(html: str) -> tuple[list[tuple[tuple[int, ...], str]], dict[int, list[
             now = None
         if tag in VOID or not (block or tag in SKIPPED):
             continue
-        if tag in CLOSES_P and any(s[0] == "p" for s in stack):
-            i = max(i for i, s in enumerate(stack) if s[0] == "p")
-            if all(s[0] not in ("td", "th", "table", "button") for s in stack[i:]):
-                del stack[i:]
+        if tag in CLOSES_P and paragraphs and not (walls and walls[-1] > paragraphs[-1]):
+            close(paragraphs[-1])
         if tag in ("li", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == tag:
-            stack.pop()
+            close(len(stack) - 1)
         if tag == "body" or len(stack) == 1 and stack[0][0] == "head":
-            stack = [s for s in stack if s[0] == "html"]
+            close(1 if stack and stack[0][0] == "html" else 0)
         parent, skipped, article = stack[-1][1:] if stack else (0, False, False)
-        names, name = set(), tag
+        own, names, name = set(), set(), tag
         if m[3]:
             values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])}
             marks = " ".join(values.get(k, "") for k in ("class", "id", "role")).lower()
-            names = set(re.split(r"[^a-z0-9]+", marks))
+            own = {x for word in marks.split() if not LAYOUT.match(word) for x in re.split(r"[^a-z0-9]+", word)}
+            if tag not in UNNAMED and (tag != "article" or article):
+                names = own
             name = f"{tag}.{values.get('class', '')}"
-            if re.search(r"(?:^|\s)hidden(?:\s|=|$)", m[3]) or re.search(r"display\s*:\s*none", values.get("style", "")) or values.get("aria-hidden") == "true":
-                skipped = True
-        article = article or tag in ("article", "main") or "article" in names and tag in ("div", "section")
+        article = article or tag in ("article", "main") or "article" in own and tag in ("div", "section")
         skipped = skipped or tag in SKIPPED or bool(names & FURNITURE) or not article and (tag == "header" or bool(names & HEADING))
-        node = _node(parent, name)
-        children.setdefault(parent, []).append(name)
+        node = parent
+        if len(stack) < DEPTH:
+            node = _node(parent, name)
+            children.setdefault(parent, []).append(name)
+        open_tags[tag] += 1
+        if tag == "p":
+            paragraphs.append(len(stack))
+        elif tag in ("td", "th", "table", "button"):
+            walls.append(len(stack))
         stack.append((tag, node, skipped, article))
     kept = [(b.nodes, t, b.in_article) for b in blocks if (t := " ".join(unescape("".join(b.parts)).split()))]
     marked = any(a for *_, a in kept)
