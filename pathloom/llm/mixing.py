@@ -6,7 +6,10 @@ to ``epochs`` times, and each source takes its target. The cheapest flow says
 how many tokens of each pattern go to each source and so how often a pattern is
 repeated; seeded hashes then say which documents are.
 
-How it holds at scale: only one row a pattern reaches the driver. Documents are
+How it holds at scale: only one row a pattern reaches the driver, where the flow
+is found for each group of patterns and sources that touch one another (a source
+whose documents have no other is its own group and needs no search); the plan is
+broadcast while it has at most SHIPPED rows and joined beyond. Documents are
 chosen by comparing a hash with a cut that two rounds of histograms find (4096
 bins, then 4096 bins of the bin where the target falls), so no source is ever
 sorted or windowed as a whole, and a source with a third of all rows is spread
@@ -16,9 +19,11 @@ until the gap is below the smallest spare document. One more document is taken
 where that comes nearer to the target.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source
-of its own, last in order. Documents of size 0 take nothing. Equal ids or
-repeated rows share their hash only if all of id, source and size agree, and
-are then taken together. An empty table gives an empty result.
+of its own, last in order. Documents of size 0 take nothing. Repeated rows share
+their hash only if all of id, source and size agree, and are then taken together;
+documents without an id go by their text. A very long text is one document like
+others. An empty table gives an empty result. Columns of the table keep their
+values, but those that have a new column's name (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
 EPOCHS = 2
 BINS = 4096
+SHIPPED = 20_000
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS) -> dict:
@@ -60,8 +66,34 @@ def cheapest_flow(patterns: list[tuple[tuple, int]], quotas: dict, epochs: int =
     """Tokens of each (pattern's number, source) in a flow of least cost that fills the quotas as far as they can be.
 
     ``patterns``: the sources of a pattern and its tokens. The e-th pass over a pattern costs e a token (convex), so
-    repetition starts only where fresh tokens run out. Successive shortest paths with potentials.
+    repetition starts only where fresh tokens run out. Groups that share no source are solved apart.
     """
+    found, root = {}, {s: s for s in quotas}
+
+    def top(s):
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            root[top(s)] = top(members[0])
+    groups: dict = {}
+    for i, (members, _) in enumerate(patterns):
+        if members:
+            groups.setdefault(top(members[0]), []).append(i)
+    for own in groups.values():
+        if len(own) == 1 and len(patterns[own[0]][0]) == 1:
+            (source,), tokens = patterns[own[0]]
+            flow = {(0, source): min(float(quotas[source]), float(tokens) * epochs)}
+        else:
+            flow = _shortest_paths([patterns[i] for i in own], {s: quotas[s] for i in own for s in patterns[i][0]}, epochs)
+        found |= {(own[i], s): v for (i, s), v in flow.items() if v > 1e-6}
+    return found
+
+
+def _shortest_paths(patterns: list[tuple[tuple, int]], quotas: dict, epochs: int) -> dict[tuple[int, object], float]:
+    """The cheapest flow of one group, by successive shortest paths with potentials."""
     arcs: list[list] = []  # to, capacity, cost
     out: dict = {}
 
@@ -120,9 +152,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     many = docs.schema[source_col].dataType.typeName() == "array"
     members = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col).cast("string"))
-    own = docs.withColumns({"_size": word_count(F.col(text_col)), "_pattern": members})
-    # Two independent 31-bit hashes order the documents of a pattern.
-    own = own.withColumns({"_bin": F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(BINS)).cast("int"), "_fine": F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BINS)).cast("int"), "_tie": F.xxhash64(F.col(id_col), F.col("_size"), F.lit(-seed))})
+    added = [prefix + c for c in ("size", "source_size", "target", "taken")]
+    left = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {x.lower() for x in added}]
+    own = docs.select(F.struct(*left).alias("_row"), word_count(F.col(text_col)).alias("_size"), members.alias("_pattern"), F.col(id_col).alias("_id"), F.when(F.col(id_col).isNull(), F.col(text_col)).alias("_unnamed"))
+    # Two independent hashes order the documents of a pattern.
+    bins = {"_bin": F.pmod(F.xxhash64("_id", "_unnamed", F.lit(seed)), F.lit(BINS)).cast("int"), "_fine": F.pmod(F.xxhash64(F.lit(seed), "_unnamed", "_id"), F.lit(BINS)).cast("int"), "_tie": F.xxhash64("_id", "_unnamed", "_size", F.lit(-seed))}
+    own = own.withColumns(bins).drop("_id", "_unnamed")
     sizes = cut(own.select("_size", "_pattern", "_bin", "_fine", "_tie"))
 
     totals = sizes.groupBy("_pattern").agg(F.sum("_size").alias("tokens")).collect()
@@ -138,10 +173,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         goal = sum(flow.get((i, s), 0.0) for s in p)
         passes = int(goal // tokens) if tokens else 0
         plan.append((i, list(p), sum(by_source[s] for s in p), sum(quota[s] for s in p), passes, int(round(goal - passes * tokens))))
+    hint = F.broadcast if len(plan) <= SHIPPED else lambda df: df
     kind = docs.schema[source_col].dataType.elementType.simpleString() if many else "string"
     spark = docs.sparkSession
     goals = spark.createDataFrame(plan, f"p int, _pattern array<{kind}>, source_size long, target double, passes int, part long")
-    keyed = sizes.join(F.broadcast(goals.where("part > 0").select("p", "_pattern")), sizes["_pattern"].eqNullSafe(goals["_pattern"])).drop("_pattern")
+    keyed = sizes.join(hint(goals.where("part > 0").select("p", "_pattern")), sizes["_pattern"].eqNullSafe(goals["_pattern"])).drop("_pattern")
 
     def cut_at(rows: DataFrame, bin_col: str, before: str) -> DataFrame:
         """(p, cut bin, tokens before it) where the running total first reaches ``gap``: at most BINS rows a pattern."""
@@ -157,16 +193,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_runs = {p: (-1, 0, 0) for p in gaps}
     while open_runs:
         now = spark.createDataFrame([(p, gaps[p], place_now) for p, place_now in open_runs.items()], "p int, gap long, after struct<_bin: int, _fine: int, _tie: long>")
-        wanted = keyed.join(F.broadcast(now), "p").where(f"_size > 0 and _size <= gap and {place} > after").withColumn("none", F.lit(0).cast("long"))
+        wanted = keyed.join(hint(now), "p").where(f"_size > 0 and _size <= gap and {place} > after").withColumn("none", F.lit(0).cast("long"))
         # All rounds leave one row a pattern, so they are collected like the patterns themselves.
         first = {r["p"]: (r["_bin"], r["below"]) for r in cut_at(wanted, "_bin", "none").collect()}
         at = {}
         if first:
             level = spark.createDataFrame([(p, b, t) for p, (b, t) in first.items()], "p int, _bin int, below long")
-            second = {r["p"]: (r["_fine"], r["below"]) for r in cut_at(wanted.join(F.broadcast(level), ["p", "_bin"]), "_fine", "below").collect()}
+            second = {r["p"]: (r["_fine"], r["below"]) for r in cut_at(wanted.join(hint(level), ["p", "_bin"]), "_fine", "below").collect()}
             level = spark.createDataFrame([(p, first[p][0], b, t) for p, (b, t) in second.items()], "p int, _bin int, _fine int, below long")
             # Within the last bin (one in 16 million of a pattern): whole documents while they fit, by hash.
-            tail = wanted.join(F.broadcast(level), ["p", "_bin", "_fine"]).withColumn("reach", F.col("below") + F.sum("_size").over(Window.partitionBy("p").orderBy("_tie")))
+            tail = wanted.join(hint(level), ["p", "_bin", "_fine"]).groupBy("p", "gap", "below", "_tie").agg(F.sum("_size").alias("_size")).withColumn("reach", F.col("below") + F.sum("_size").over(Window.partitionBy("p").orderBy("_tie")))
             last = tail.groupBy("p", "below").agg(F.max(F.expr("if(reach <= gap, reach, null)")).alias("reach"), F.min(F.expr("if(reach > gap, _tie, null)")).alias("tie"))
             at = {r["p"]: r for r in last.collect()}
         left = [] if len(at) == len(open_runs) else wanted.groupBy("p").agg(F.sum("_size").alias("tokens")).collect()
@@ -191,15 +227,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extras: dict[int, int] = {}
     if any(g > 0 for g in gaps.values()):
         now = spark.createDataFrame([(p, g, runs[p]) for p, g in gaps.items() if g > 0], f"p int, gap long, runs {run_type}")
-        spare = keyed.join(F.broadcast(now), "p").where(f"_size > 0 and _size < 2 * gap and not {inside}")
+        spare = keyed.join(hint(now), "p").where(f"_size > 0 and _size < 2 * gap and not {inside}")
         spare = spare.groupBy("p", "gap", "_tie").agg(F.sum("_size").alias("_size")).where("_size < 2 * gap")
         extras = {r["p"]: r["tie"] for r in spare.groupBy("p").agg(F.min_by("_tie", F.struct(F.abs(F.col("gap") - F.col("_size")), "_tie")).alias("tie")).collect()}
     final = [row[1:5] + (runs.get(row[0], []), extras.get(row[0])) for row in plan]
     final = spark.createDataFrame(final, f"_goal array<{kind}>, _source_size long, _target double, _passes int, runs {run_type}, extra long")
     final = final.select("_goal", "_source_size", "_target", "_passes", F.struct("runs", "extra").alias("_cut"))
     drop(sizes)
-    placed = own.join(F.broadcast(final), own["_pattern"].eqNullSafe(final["_goal"]))
+    placed = own.join(hint(final), own["_pattern"].eqNullSafe(final["_goal"]))
     chosen_now = inside.replace("exists(runs", "exists(_cut.runs") + " or coalesce(_tie = _cut.extra, false)"
-    added = {"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "taken": F.col("_size") * (F.col("_passes") + F.expr(f"if({chosen_now}, 1, 0)"))}
-    added = {prefix + k: v for k, v in added.items()}
-    return placed.select(*[c for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    taken = F.col("_size") * (F.col("_passes") + F.expr(f"if({chosen_now}, 1, 0)"))
+    return placed.select("_row.*", *[v.alias(c) for c, v in zip(added, (F.col("_size"), F.col("_source_size"), F.col("_target"), taken), strict=True)])
