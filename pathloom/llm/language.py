@@ -12,7 +12,9 @@ document.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.
 Ties go to the n-gram, and to the language, that sorts first. Without any
-labelled row all documents are ``und``.
+labelled row all documents are ``und``. Repeated rows each keep a row, very long
+texts are read whole, an empty table gives no rows. ``predict`` replaces columns
+that have its new columns' names; ``language_id`` returns its own columns only.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .folds import bounded, fold
+from .store import free_name
 
 LENGTH = 300
 ORDERS = 3
@@ -40,7 +43,7 @@ class _Letters:
     def of(cls, text: str) -> np.ndarray:
         if cls.table is None:
             low = np.full(0x110000, 32, np.uint32)
-            for c in range(0x30000):
+            for c in range(0x110000):
                 if chr(c).isalpha():
                     low[c] = ord(chr(c).lower()[0])
             cls.table = low
@@ -116,8 +119,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "t
     def judged(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge(t) for t in texts], columns=["lang", "score", "closeness"])
 
-    out = docs.withColumn("_judged", judged(F.col(text_col).cast("string")))
-    return out.withColumns({prefix + "lang_pred": F.col("_judged.lang"), prefix + "score": F.col("_judged.score"), prefix + "closeness": F.col("_judged.closeness")}).drop("_judged")
+    own = free_name(docs, "judged")
+    out = docs.withColumn(own, judged(F.col(text_col).cast("string")))
+    return out.withColumns({prefix + "lang_pred": F.col(f"{own}.lang"), prefix + "score": F.col(f"{own}.score"), prefix + "closeness": F.col(f"{own}.closeness")}).drop(own)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, most: int = 4000) -> DataFrame:

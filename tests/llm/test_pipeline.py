@@ -41,3 +41,14 @@ def test_entry_without_the_corpus_package(monkeypatch):
     assert "pipeline" in entry.queries() and "op1_embedding_dedup" in entry.queries()
     monkeypatch.setattr(entry, "_optional", lambda name: None)
     assert "ham_paths_nation" in entry.queries() and "pipeline" not in entry.queries()
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "other")
+    rows = [(5, a), (5, a), (3, near), (None, a), (5, b), (7, b), (None, c), (None, c), (9, ""), (9, ""), (10, None), (11, c + " c0 c1 c2")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, row_key string, times int")
+    out = P.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(3, near), (5, b), (9, ""), (10, None), (11, c + " c0 c1 c2")], key=str)
