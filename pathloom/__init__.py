@@ -1,3 +1,3 @@
-"""pathloom: Hamiltonian-path counting, enumeration and estimation as Spark dataflow."""
+"""pathloom: counting, enumeration and estimation of paths through every vertex of a graph, as Spark dataflow."""
 
 __version__ = "0.1.0"

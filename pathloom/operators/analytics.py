@@ -6,6 +6,8 @@ Everything is built-in expressions; what reaches the driver is one row of sums.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -111,9 +113,17 @@ def worst(df: DataFrame, actual: str, predicted: str, k: int = 8) -> DataFrame:
 
 
 def log_sum_exp(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """ln(sum(exp(value))) by key, scaled by the largest, in one join-free pass of two aggregates."""
-    top = F.max(value).over(Window.partitionBy(*keys))
-    return df.withColumn("_top", top).groupBy(*keys).agg((F.max("_top") + F.ln(F.sum(F.exp(F.col(value) - F.col("_top"))))).alias("lse"))
+    """ln(sum(exp(value))) by key, scaled by the largest: two aggregates, both combined before they are shuffled.
+
+    A partial sum is kept for each stretch of 64 that values fall into, so no row has to know its key's largest value;
+    the few partial sums of a key are then brought to its highest stretch. Nulls are left out; a key of nulls has null.
+    """
+    step = F.floor(F.col(value) / 64)
+    parts = df.groupBy(*keys, step.alias("_step")).agg(F.sum(F.exp(F.col(value) - 64 * step)).alias("_sum"))
+    top = parts.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.max("_step").alias("_top"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)], F.lit(True))
+    scaled = F.sum(F.col("_sum") * F.exp(64.0 * (F.col("_step") - F.col("_top"))))
+    return parts.join(top, same).groupBy(*keys).agg((64 * F.max("_top") + F.ln(scaled)).alias("lse"))
 
 
 def overrun_penalty(df: DataFrame, value: str, safe: float, *keys: str, weight: float = 20.0) -> DataFrame:

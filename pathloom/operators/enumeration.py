@@ -1,4 +1,4 @@
-"""Enumeration of Hamiltonian paths by self-avoiding joins, and what rotations make of them.
+"""Enumeration of paths through every vertex by self-avoiding joins, and what rotations make of them.
 
 Paths grow by one vertex a round: an equi-join on the last vertex with the
 "not yet visited" condition beside it. Rotations turn a path into others with
@@ -17,7 +17,7 @@ def _settle(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def hamiltonian_paths(graph: Graph, n: int | None = None) -> DataFrame:
+def spanning_paths(graph: Graph, n: int | None = None) -> DataFrame:
     """``path ARRAY<INT>``: each undirected path once, smaller end first.
 
     The adjacency list joins once a round, so a round adds rows, not width; a graph of n vertices takes n - 1 rounds.

@@ -1,4 +1,4 @@
-"""Estimates of the number of Hamiltonian paths: importance sampling and a particle filter.
+"""Estimates of the number of paths through every vertex: importance sampling and a particle filter.
 
 A sample's random numbers come from a counter-based generator seeded by (seed,
 sample), so results depend on neither partitioning nor retries. Samples are
@@ -87,6 +87,9 @@ def z_score(mean: float, sem: float, truth: float) -> float:
     return (mean - truth) / sem if sem else (0.0 if mean == truth else math.inf)
 
 
+PIECES = 64
+
+
 def running_mean(df: DataFrame, value: str, order: str, every: int = 1) -> DataFrame:
     """(order, mean so far), every so many rows. One ordered pass: for traces of a run, not for raw data."""
     frame = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -99,15 +102,27 @@ def systematic_resample(weights: DataFrame, m: int, u0: float, id_col: str = "id
 
     The range join of targets with shares is solved in closed form: the number of targets up to a cumulative share c is
     ceil(m c - u0), so a row's copies are a difference of two of these. With ``key_col`` runs are resampled side by side.
+
+    Cumulative weights take two passes: sums of PIECES ranges of ids, whose running totals are a small table, then a
+    window within each range, so a run of any length is no single task. Ids are numbers or times.
     """
-    over = Window.partitionBy(*([key_col] if key_col else [])).orderBy(id_col)
-    frame = over.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*([key_col] if key_col else []))
-    shares = weights.withColumns({"_c": F.sum(weight_col).over(frame), "_t": F.sum(weight_col).over(whole)})
-    upto = F.least(F.lit(m), F.greatest(F.lit(0), F.ceil(m * F.col("_c") / F.col("_t") - u0 - 1e-12))).cast("long")
-    counted = shares.withColumn("_n", upto)
-    before = F.coalesce(F.lag("_n").over(over), F.lit(0))
-    return counted.withColumn("copies", F.col("_n") - before).drop("_c", "_t", "_n")
+    keys = [key_col] if key_col else []
+    cuts = weights.agg(F.percentile_approx(id_col, [i / PIECES for i in range(1, PIECES)], 10_000).alias("cuts"))
+    pieced = weights.join(F.broadcast(cuts)).withColumn("_piece", F.size(F.filter("cuts", lambda c: c < F.col(id_col)))).drop("cuts")
+    sums = pieced.groupBy(*[F.col(k).alias("_key") for k in keys], "_piece").agg(F.sum(weight_col).alias("_own"))
+    by_key = Window.partitionBy(*(["_key"] if keys else []))
+    before = F.coalesce(F.sum("_own").over(by_key.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.select(*(["_key"] if keys else []), F.col("_piece").alias("_at"), before.alias("_before"), F.sum("_own").over(by_key).alias("_t"))
+    same = (F.col("_piece") == F.col("_at")) & (F.col(key_col).eqNullSafe(F.col("_key")) if keys else F.lit(True))
+    placed = pieced.join(sums, same)
+    within = F.sum(weight_col).over(Window.partitionBy(*keys, "_piece").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0))
+
+    def upto(reached):
+        return F.least(F.lit(m), F.greatest(F.lit(0), F.ceil(m * reached / F.col("_t") - u0 - 1e-12))).cast("long")
+
+    counted = placed.withColumn("_n", upto(F.col("_before") + within))
+    last = F.lag("_n").over(Window.partitionBy(*keys, "_piece").orderBy(id_col))
+    return counted.withColumn("copies", F.col("_n") - F.coalesce(last, upto(F.col("_before")))).select(*weights.columns, "copies")
 
 
 class Particle:

@@ -1,4 +1,4 @@
-"""Exact counts of Hamiltonian paths and cycles by a dataflow over frontier states.
+"""Exact counts of paths and cycles through every vertex by a dataflow over frontier states.
 
 A state says for each frontier vertex (slot) whether it is fresh (0), inside a
 segment (-1), or the end of segment L (L > 0; L twice: both ends are here, once:
@@ -347,7 +347,7 @@ class Counted:
 
 
 def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None, form: str = "auto", local_rows: int = 200_000, prune: bool = True, checkpoint: str | None = None, every: int = 5, step_limit: int | None = None) -> Counted:
-    """Hamiltonian paths and cycles (undirected) of a graph, for any order.
+    """Undirected paths and cycles through every vertex of a graph, for any order.
 
     ``form``: auto, local, packed or native. ``checkpoint`` names a folder to write every ``every`` distributed steps to
     and to go on from. ``step_limit`` stops after so many steps (its profile ranks orders).
@@ -369,7 +369,7 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
         df, first, cycles, seen = got
         own, first = None, first + 1
         seen = [tuple(x) for x in seen]
-    n = seen[-1][5] if seen else 1
+    n, held = seen[-1][5] if seen else 1, []
     for step in plan[first : step_limit]:
         if df is None and form == "auto" and len(own) > local_rows:
             df, own = _spread(spark, own, spread), None
@@ -386,12 +386,18 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
             write = saved and step.k % every == every - 1
             if write:
                 df = saved.save(spark, df, step.k)
+            elif step.k % every == every - 1 and spark.sparkContext.getCheckpointDir():
+                df = df.checkpoint()
             else:
-                df = df.checkpoint() if step.k % every == every - 1 and spark.sparkContext.getCheckpointDir() else df.persist()
+                df = df.persist()
+                held.append(df)
             if spread == "packed" and step.final:
                 cycles += int(df.where("nc = 2").agg(F.sum("cnt")).first()[0] or 0)
                 df = df.where("nc < 2")
             out = df.count()
+            for old in held[:-1]:  # what the counted step was made from
+                old.unpersist()
+            del held[:-1]
         seen.append((step.k, step.vertex, step.width, len(step.back), n, out))
         if df is not None and write:
             saved.name(spark, step.k, cycles, seen)
@@ -400,7 +406,8 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
         paths = _total(own.cnt[own.nc]) if plan and own.conn.shape[1] == 0 else 0
     else:
         paths = int(df.where("nc = 1").agg(F.sum("cnt")).first()[0] or 0)
-        spark.catalog.clearCache()
+        for old in held:
+            old.unpersist()
     return Counted(paths, cycles, top, profile, seen)
 
 

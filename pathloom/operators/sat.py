@@ -1,4 +1,4 @@
-"""Hamiltonian cycles as propositional clauses, generated as rows, and their DIMACS form."""
+"""Cycles through every vertex as propositional clauses, generated as rows, and their DIMACS form."""
 
 from __future__ import annotations
 

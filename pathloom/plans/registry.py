@@ -88,7 +88,29 @@ def ham_paths_packed(spark, sf_dir):
     return one_row(spark, "ham_paths string", str(got.paths)).select(F.col("ham_paths").cast("bigint"))
 
 
-@query("SELECT 'grid' AS family, 276 AS ham_paths, 6 AS ham_cycles UNION ALL SELECT 'king', 392, 16 UNION ALL SELECT 'knight', 82, 0 UNION ALL SELECT 'hamming', 72, 6 UNION ALL SELECT 'square_diff', 210, 9 UNION ALL SELECT 'complete', 1814400, 181440")
+@query(f"WITH RECURSIVE {WALK} SELECT count(*) AS ham_paths FROM paths")
+def ham_paths_native(spark, sf_dir):
+    """The same with array states and built-in expressions alone."""
+    got = D.count(spark, nation_graph(spark, sf_dir).local(), form="native")
+    return one_row(spark, "ham_paths string", str(got.paths)).select(F.col("ham_paths").cast("bigint"))
+
+
+#: Vertices (family, x, y) and the rule of each family; a vertex's number is 100 x + y.
+FAMILIES = """cell AS (
+  SELECT 'grid' AS f, a.i AS x, b.i AS y FROM range(4) a(i), range(4) b(i) UNION ALL SELECT 'king', a.i, b.i FROM range(3) a(i), range(3) b(i)
+  UNION ALL SELECT 'knight', a.i, b.i FROM range(4) a(i), range(5) b(i) UNION ALL SELECT 'hamming', 0, i FROM range(8) t(i) UNION ALL SELECT 'square_diff', 0, i FROM range(1, 11) t(i)
+), near AS (
+  SELECT a.f, 100 * a.x + a.y AS v, 100 * b.x + b.y AS w FROM cell a JOIN cell b ON a.f = b.f AND (a.x, a.y) <> (b.x, b.y) WHERE CASE a.f
+    WHEN 'grid' THEN abs(a.x - b.x) + abs(a.y - b.y) = 1 WHEN 'king' THEN greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1
+    WHEN 'knight' THEN abs(a.x - b.x) * abs(a.y - b.y) = 2 WHEN 'hamming' THEN bit_count(xor(a.y, b.y)) = 1
+    ELSE pow(floor(sqrt(abs(a.y - b.y))), 2) = abs(a.y - b.y) END
+), size AS (SELECT f, count(*) AS n FROM cell GROUP BY f), walk(f, path, v) AS (
+  SELECT f, [100 * x + y], 100 * x + y FROM cell UNION ALL
+  SELECT near.f, list_append(path, near.w), near.w FROM walk JOIN near ON near.f = walk.f AND near.v = walk.v AND NOT list_contains(path, near.w)
+), whole AS (SELECT walk.f, n, path[1] AS a, v AS b FROM walk JOIN size USING (f) WHERE len(path) = n AND path[1] < v)"""
+
+
+@query(f"WITH RECURSIVE {FAMILIES} SELECT whole.f AS family, CAST(count(*) AS INT) AS ham_paths, CAST(count(near.v) / any_value(n) AS INT) AS ham_cycles FROM whole LEFT JOIN near ON near.f = whole.f AND near.v = a AND near.w = b GROUP BY whole.f UNION ALL SELECT 'complete', CAST(factorial(10) / 2 AS INT), CAST(factorial(9) / 2 AS INT)")
 def family_counts(spark, sf_dir):
     sizes = {"grid": (4, 4), "king": (3, 3), "knight": (4, 5), "hamming": (3,), "square_diff": (10,), "complete": (10,)}
     rows = [(name, (c := D.count(spark, G.family(spark, name, *s).local())).paths, c.cycles) for name, s in sizes.items()]
@@ -182,18 +204,18 @@ def joined(path: str):
 
 @query(f"WITH RECURSIVE {WALK} SELECT array_to_string(path, ',') AS path FROM paths")
 def path_enumeration(spark, sf_dir):
-    return E.hamiltonian_paths(nation_graph(spark, sf_dir)).select(joined("path").alias("path"))
+    return E.spanning_paths(nation_graph(spark, sf_dir)).select(joined("path").alias("path"))
 
 
 @query(f"WITH RECURSIVE {WALK} SELECT CASE WHEN {SQUARE.format('(path[1] + path[25])')} THEN 'closable' ELSE 'open' END AS kind, count(*) AS n FROM paths GROUP BY 1")
 def path_endpoint_types(spark, sf_dir):
-    return E.hamiltonian_paths(nation_graph(spark, sf_dir)).groupBy(E.endpoint_type(F.col("path")).alias("kind")).agg(F.count("*").alias("n"))
+    return E.spanning_paths(nation_graph(spark, sf_dir)).groupBy(E.endpoint_type(F.col("path")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH RECURSIVE {TURN} SELECT array_to_string(src, ',') AS src, array_to_string(dst, ',') AS dst FROM links")
 def rotation_graph(spark, sf_dir):
     g = nation_graph(spark, sf_dir)
-    paths = E.numbered(E.hamiltonian_paths(g)).persist()
+    paths = E.numbered(E.spanning_paths(g)).persist()
     rot = E.rotation_graph(paths, g)
     a, b = paths.select(F.col("path_id").alias("src"), joined("path").alias("a")), paths.select(F.col("path_id").alias("dst"), joined("path").alias("b"))
     return rot.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -202,21 +224,21 @@ def rotation_graph(spark, sf_dir):
 @query(f"WITH RECURSIVE {TURN} SELECT count(*) AS size, count(DISTINCT root) AS one FROM roots GROUP BY root")
 def posa_orbit_sizes(spark, sf_dir):
     g = nation_graph(spark, sf_dir)
-    orbit = E.orbits(E.numbered(E.hamiltonian_paths(g)).persist(), g)
+    orbit = E.orbits(E.numbered(E.spanning_paths(g)).persist(), g)
     return orbit.groupBy("root").agg(F.count("*").alias("size"), F.countDistinct("root").alias("one")).drop("root")
 
 
 @query(f"WITH RECURSIVE {TURN} SELECT count(DISTINCT root) AS orbits, count(*) AS paths FROM roots")
 def posa_orbits(spark, sf_dir):
     g = nation_graph(spark, sf_dir)
-    return E.orbit_sizes(E.orbits(E.numbered(E.hamiltonian_paths(g)).persist(), g)).drop("sizes")
+    return E.orbit_sizes(E.orbits(E.numbered(E.spanning_paths(g)).persist(), g)).drop("sizes")
 
 
 @query(f"WITH RECURSIVE {TURN} SELECT count(*) AS size, CAST(0 AS INT) AS in_degree, true AS is_source FROM roots GROUP BY root")
 def posa_scc_sources(spark, sf_dir):
     """The relation is symmetric, so strong components are the orbits and all are sources."""
     g = nation_graph(spark, sf_dir)
-    paths = E.numbered(E.hamiltonian_paths(g)).persist()
+    paths = E.numbered(E.spanning_paths(g)).persist()
     rot = E.rotation_graph(paths, g).persist()
     return E.condensation(E.strong_components(paths.select(F.col("path_id").alias("node")), rot), rot).select("size", F.col("in_degree").cast("int").alias("in_degree"), "is_source")
 
@@ -359,7 +381,7 @@ def schedule_values(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), *[F.round(ST.temperature(s, 10.0, 0.1, share), 6).alias(s) for s in ("geometric", "linear", "cosine", "log")])
 
 
-@query("SELECT * FROM (VALUES ('0,3,-1,1,3', '0,1,-1,2,1'), ('2,2,1', '1,1,2'), ('-1,0', '-1,0')) AS t(conn, canonical)")
+@query("SELECT array_to_string(c, ',') AS conn, array_to_string(list_transform(c, lambda x: CASE WHEN x <= 0 THEN x ELSE list_position(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i] > 0 AND list_position(c, c[i]) = i), lambda i: c[i]), x) END), ',') AS canonical FROM (VALUES ([0, 3, -1, 1, 3]), ([2, 2, 1]), ([-1, 0])) AS t(c)")
 def canonical_states(spark, sf_dir):
     rows = spark.createDataFrame([([0, 3, -1, 1, 3],), ([2, 2, 1],), ([-1, 0],)], "conn array<int>")
     return rows.select(joined("conn").alias("conn"), F.concat_ws(",", F.expr(D.canonical_expr("conn")).cast("array<string>")).alias("canonical"))
@@ -367,19 +389,25 @@ def canonical_states(spark, sf_dir):
 
 # --- profiles and models ---------------------------------------------------------------------------------------------------
 
-LOG = "# header\nn= 70  pw=14  max_fw=14  profile=824  ord=546.33s  dp=1635.171s  ham_paths=19133360717991\nstep vertex\n0 5 1 0 1 1 0.10 0.10\n1 7 2 1 1 2 0.20 0.30\nSA moved\n1 7 2 1 1 3 0.25 0.35\n2 9 3 2 4 3 6 0.30 0.65 {1,2} [sm]\n"
+LOG = "# header\nn= 12  pw=3  max_fw=4  profile=31  ord=0.25s  dp=7.125s  ham_paths=98765432109876\nstep vertex\n0 5 1 0 1 1 0.10 0.10\n1 7 2 1 1 2 0.20 0.30\nSA moved\n1 7 2 1 1 3 0.25 0.35\n2 9 3 2 4 3 6 0.30 0.65 {1,2} [sm]\n"
 
 
 def _log(spark):
     return spark.createDataFrame([("profile_70.txt", LOG)], "name string, text string")
 
 
-@query("SELECT * FROM (VALUES (0, 5, 1, 0, CAST(NULL AS INT), CAST(1 AS BIGINT), CAST(1 AS BIGINT), 0.1::DOUBLE, CAST(NULL AS VARCHAR)), (1, 7, 2, 1, NULL, 1, 3, 0.25, NULL), (2, 9, 3, 2, 4, 3, 6, 0.3, 'sm')) AS t(step, vertex, fs, n_back, e_bag, states_in, states_out, step_ms, backend)")
+#: Words of the log's numbered lines; a line with nine numbers has an e_bag; of lines of one step the last counts.
+PARSED = f"""text AS (SELECT '{LOG}' AS t), line AS (SELECT unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM text),
+word AS (SELECT i, l, string_split(regexp_replace(l, ' [{{\\[].*', ''), ' ') AS w FROM line WHERE regexp_matches(l, '^\\d+( [\\d.]+){{7,8}}( [{{\\[].*)?$')),
+step AS (SELECT *, CAST(w[1] AS INT) AS step, len(w) - 8 AS more FROM word QUALIFY row_number() OVER (PARTITION BY w[1] ORDER BY i DESC) = 1)"""
+
+
+@query(f"WITH {PARSED} SELECT step, CAST(w[2] AS INT) AS vertex, CAST(w[3] AS INT) AS fs, CAST(w[4] AS INT) AS n_back, CASE WHEN more = 1 THEN CAST(w[5] AS INT) END AS e_bag, CAST(w[5 + more] AS BIGINT) AS states_in, CAST(w[6 + more] AS BIGINT) AS states_out, CAST(w[7 + more] AS DOUBLE) AS step_ms, nullif(regexp_extract(l, '\\[(\\w+)\\]', 1), '') AS backend FROM step")
 def parse_profile_lines(spark, sf_dir):
     return P.parse_steps(_log(spark)).select("step", "vertex", "fs", "n_back", "e_bag", "states_in", "states_out", "step_ms", "backend")
 
 
-@query("SELECT 70 AS n, 14 AS pw, 546.33::DOUBLE AS ord_time_s, 1635.171::DOUBLE AS dp_time_s, 19133360717991 AS ham_paths")
+@query(f"WITH {PARSED}, s AS (SELECT l FROM line WHERE l LIKE 'n=%') SELECT CAST(regexp_extract(l, 'n= *(\\d+)', 1) AS INT) AS n, CAST(regexp_extract(l, 'pw=(\\d+)', 1) AS INT) AS pw, CAST(regexp_extract(l, 'ord=([\\d.]+)s', 1) AS DOUBLE) AS ord_time_s, CAST(regexp_extract(l, 'dp=([\\d.]+)s', 1) AS DOUBLE) AS dp_time_s, CAST(regexp_extract(l, 'ham_paths=(\\d+)', 1) AS BIGINT) AS ham_paths FROM s")
 def parse_profile_summary(spark, sf_dir):
     return P.parse_summaries(_log(spark)).drop("name").withColumn("ham_paths", F.col("ham_paths").cast("bigint"))
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pathloom.sources import graphs as G, profiles as P
 
 def test_enumeration_orbits_and_components(spark):
     g = G.square_sum(spark, 25)
-    paths = E.numbered(E.hamiltonian_paths(g)).persist()
+    paths = E.numbered(E.spanning_paths(g)).persist()
     assert paths.count() == 10
     row = E.orbit_sizes(E.orbits(paths, g)).first()
     assert (row.orbits, row.paths) == (2, 10)
@@ -151,3 +152,37 @@ def test_registered_queries_against_duckdb(spark, name):
     want = db.execute(registry.oracle_sql()[name]).df()
     columns = sorted(want.columns)
     assert sorted(map(str, got[columns].values.tolist())) == sorted(map(str, want[columns].values.tolist()))
+
+
+def test_log_sum_exp_of_far_apart_values_and_nulls(spark):
+    rows = [("a", 1000.0), ("a", 1000.5), ("a", -3000.0), ("b", None), ("c", -700.0), ("c", None), (None, 2.0), (None, 2.0)]
+    got = {r.k: r.lse for r in A.log_sum_exp(spark.createDataFrame(rows, "k string, x double"), "x", "k").collect()}
+    want = {"a": 1000.5 + math.log1p(math.exp(-0.5)), "b": None, "c": -700.0, None: 2 + math.log(2)}
+    assert got.keys() == want.keys() and got["b"] is None
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items() if v is not None)
+    whole = A.log_sum_exp(spark.createDataFrame([(0.0,), (0.0,)], "x double"), "x").first()
+    assert abs(whole.lse - math.log(2)) < 1e-12
+
+
+def test_systematic_resample_against_plain_targets(spark):
+    rng = random.Random(3)
+    rows = [(k, i, rng.choice([0.0, rng.random(), 9.0])) for k in ("a", "b", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, id long, w double").repartition(5)
+    got = {(r.k, r.id): r.copies for r in S.systematic_resample(df, 40, 0.3, key_col="k").collect()}
+    for key in ("a", "b", None):
+        own = [(i, w) for k, i, w in rows if k == key]
+        total, reach, left = sum(w for _, w in own), 0.0, [(t + 0.3) / 40 for t in range(40)]
+        for i, w in own:
+            reach += w
+            hit = [t for t in left if t <= reach / total + 1e-12]
+            left = left[len(hit) :]
+            assert got[key, i] == len(hit)
+
+
+def test_counting_leaves_the_users_cache_alone(spark):
+    mine = spark.range(10).persist()
+    mine.count()
+    adj, before = G.square_sum(spark, 15).local(), spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert D.count(spark, adj, form="packed").paths == D.count(spark, adj, form="native").paths == 1
+    assert mine.storageLevel.useMemory and spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+    mine.unpersist()
