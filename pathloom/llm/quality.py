@@ -7,7 +7,8 @@ bounded by a document.
 
 Defined results: a null text counts as empty; a text without a word has all
 counts 0, ``base_failed`` true and ``kept`` false. Repeated rows each keep a
-row, ties cannot occur, and other columns pass unseen.
+row, ties cannot occur, very long texts are judged whole, an empty table gives
+no rows, and columns other than id and text pass unseen.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+PHRASE_WORDS = 40
 
 #: Phrases of page furniture; a line that has one is boilerplate. Fixed values.
 BOILERPLATE = ["accept cookies", "all rights reserved", "click here", "cookie policy", "privacy policy", "sign up for our newsletter", "subscribe to our", "terms of use", "terms of service", "enable javascript", "lorem ipsum"]
@@ -46,9 +48,11 @@ def _covered(column: str) -> Column:
 def line_fails(line: Column, max_symbols: float = 0.2, max_bars: float = 0.3, max_caps: float = 0.6, min_distinct: float = 0.25) -> Column:
     """Whether a line is to be removed.
 
-    Punctuation: symbols other than ``|`` per word above ``max_symbols`` + 1 in 10 characters' worth, doubled marks at the
-    words' ends, or shouting. Navigation: bars between most words, or a short line without closing
-    punctuation. Boilerplate: a phrase of :data:`BOILERPLATE`, or few distinct words again and again.
+    Punctuation: more than ``max_symbols`` symbols other than ``|`` a word, or three words or more of which capitals are
+    over ``max_caps`` of the letters. Navigation: three words or more with over ``max_bars`` bars a word, or one or two
+    words without closing punctuation. Boilerplate: a phrase of :data:`BOILERPLATE` in a line of at most PHRASE_WORDS words,
+    or, from ten words on, a share of distinct words below ``min_distinct`` and fewer of them than twice the root of all:
+    in prose their share falls with length, but their number keeps above that root.
     """
     words = split_words(line)
     n = F.size(words)
@@ -58,7 +62,8 @@ def line_fails(line: Column, max_symbols: float = 0.2, max_bars: float = 0.3, ma
     capitals = _count_of(line, r"[^\p{Lu}]")
     punctuation = (symbols > max_symbols * n) | ((n >= 3) & (capitals > max_caps * letters))
     navigation = ((n >= 3) & (bars > max_bars * n)) | ((n < 3) & ~line.rlike(r"[.!?:;,\"')\]]\s*$"))
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE)) | ((n >= 10) & (F.size(F.array_distinct(words)) < min_distinct * n))
+    distinct = F.size(F.array_distinct(words))
+    boilerplate = ((n <= PHRASE_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE))) | ((n >= 10) & (distinct < min_distinct * n) & (distinct * distinct < 4 * n))
     return punctuation | navigation | boilerplate
 
 

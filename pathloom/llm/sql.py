@@ -39,8 +39,8 @@ WITH split AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS clean FROM judged
   WHERE NOT (symbols > 0.2 * len(lw) OR (len(lw) >= 3 AND capitals > 0.6 * letters)
     OR (len(lw) >= 3 AND bars > 0.3 * len(lw)) OR (len(lw) < 3 AND NOT regexp_matches(line, '[.!?:;,"'')\]]\s*$'))
-    OR regexp_matches(lower(line), 'accept cookies|all rights reserved|click here|cookie policy|privacy policy|sign up for our newsletter|subscribe to our|terms of use|terms of service|enable javascript|lorem ipsum')
-    OR (len(lw) >= 10 AND len(list_distinct(lw)) < 0.25 * len(lw)))
+    OR (len(lw) <= 40 AND regexp_matches(lower(line), 'accept cookies|all rights reserved|click here|cookie policy|privacy policy|sign up for our newsletter|subscribe to our|terms of use|terms of service|enable javascript|lorem ipsum'))
+    OR (len(lw) >= 10 AND len(list_distinct(lw)) < 0.25 * len(lw) AND pow(len(list_distinct(lw)), 2) < 4 * len(lw)))
   GROUP BY doc_id
 ), windows AS (
   SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM split)

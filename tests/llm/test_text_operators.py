@@ -73,6 +73,13 @@ def test_quality(spark, odd_docs, no_docs):
         assert r.base_failed == (len(w) < 20 or 100 * repeats(w) > 30 * len(w))
     assert out[5].kept and "|" not in out[5].clean_text
     assert not out[7].kept and not out[3].kept
+    import random
+
+    rng = random.Random(6)  # a long clean text in one line: few of its words are distinct
+    prose = " ".join(f"w{rng.randrange(3000)}" for _ in range(40_000)) + " with a privacy policy."
+    spam = "buy these five words now " * 400
+    out = by_id(quality.quality_rules(spark.createDataFrame([(0, prose), (1, spam), (2, "Our privacy policy has changed, click here.\n" * 9)], "doc_id long, text string")))
+    assert out[0].kept and out[0].clean_text == prose and not out[1].clean_text and not out[2].clean_text
     assert len(quality.quality_rules(odd_docs).collect()) == 11
     assert quality.quality_rules(no_docs).count() == 0
     plan = quality.quality_rules(odd_docs)._jdf.queryExecution().toString()
