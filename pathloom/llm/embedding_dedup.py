@@ -283,7 +283,7 @@ def _indexed(classes: DataFrame, n: int, size: int, width: str, cosine: float, s
     return cut(dealt.groupBy("list", "hb", "qb").applyInArrow(_compared(index, width), "key long, root long, links long"))
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, sample: int = 65_536, reach: float = 3.0) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, sample: int = 65_536, reach: float = 4.0) -> DataFrame:
     """Per vector its id, ``n_links``, ``component_id`` (smallest id reachable by links) and ``kept`` (it is that id)."""
     width = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_load(width), "id long, ok boolean, size int, key long, raw binary")
