@@ -143,28 +143,22 @@ def features(words: list[str], ends: str = "\0") -> tuple[np.ndarray, np.ndarray
 
 
 def kernel(words: list[str], landmarks: list[str], ends: str = "\0", white: np.ndarray | None = None) -> np.ndarray:
-    """Kernels of words with landmarks, over the subsequences that the landmarks have, 50 landmarks at a time.
+    """Kernels of words with landmarks, by way of the landmarks that have each subsequence.
 
     With ``white`` their products with it, in half precision: all features of all training windows are held at once.
     """
-    blocks = []
-    for lo in range(0, len(landmarks), 50):
-        lr, lk, lv = features(landmarks[lo : lo + 50], ends)
-        known, column = np.unique(lk, return_inverse=True)
-        dense = np.zeros((len(known), len(landmarks[lo : lo + 50])), np.float32)
-        np.add.at(dense, (column, lr), lv)
-        blocks.append((lo, known, dense))
+    lr, lk, lv = features(landmarks, ends)
+    order = np.argsort(lk, kind="stable")
+    lr, lv = lr[order], lv[order]
+    start = np.searchsorted(lk[order], np.arange(TABLE + 1))
     out = np.zeros((len(words), len(landmarks) if white is None else white.shape[1]), np.float32 if white is None else np.float16)
-    for first in range(0, len(words), 500):
-        r, k, v = features(words[first : first + 500], ends)
-        own = np.zeros((len(words[first : first + 500]), len(landmarks)), np.float32)
-        for lo, known, dense in blocks:
-            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-            keep = np.flatnonzero(known[at] == k)  # in order of words
-            if len(keep):
-                rows, starts = np.unique(r[keep], return_index=True)
-                own[rows, lo : lo + dense.shape[1]] = np.add.reduceat(dense[at[keep]] * v[keep, None].astype(np.float32), starts)
-        out[first : first + 500] = own if white is None else own @ white
+    for first in range(0, len(words), 50):
+        r, k, v = features(words[first : first + 50], ends)
+        shape = len(words[first : first + 50]), len(landmarks)
+        times = start[k + 1] - start[k]
+        at = np.arange(times.sum()) + np.repeat(start[k] - (np.cumsum(times) - times), times)
+        own = np.bincount(np.repeat(r * shape[1], times) + lr[at], np.repeat(v, times) * lv[at], shape[0] * shape[1]).reshape(shape)
+        out[first : first + 50] = own if white is None else own @ white
     return out
 
 
