@@ -40,6 +40,10 @@ def _parser() -> argparse.ArgumentParser:
     count.add_argument("--density-alpha", type=float, default=0.25)
     count.add_argument("--spike-penalty", type=float, default=0.0)
     count.add_argument("--schedule", default="geometric", choices=["geometric", "linear", "cosine", "log"])
+    count.add_argument("--sa-t-start", type=float, default=0.0, help="first temperature (0: 5 %% of the first cost)")
+    count.add_argument("--sa-t-end", type=float, default=0.0, help="last temperature (0: 0.01 %% of the first cost)")
+    count.add_argument("--no-pw", action="store_true", help="the best breadth-first order, whatever --order says")
+    count.add_argument("--no-refine", action="store_true", help="no annealing, whatever --refine-iters says")
     count.add_argument("--restarts", type=int, default=0)
     count.add_argument("--restart-factor", type=float, default=0.5)
     count.add_argument("--bound", type=int, help="largest width that an order may have")
@@ -79,10 +83,10 @@ def order_for(spark: SparkSession, adj: ordering.Adjacency, a: argparse.Namespac
     if a.multi_start:
         validate = (lambda o: sum(s[5] for s in frontier.count(spark, adj, o, "local", step_limit=a.validate).steps)) if a.validate else None
         return ordering.multi_start(adj, a.multi_start, a.refine_iters or 2000, a.seed, validate)
-    order = ordering.best_order(adj, a.order)
-    if a.refine_iters:
+    order = ordering.best_bfs(adj) if a.no_pw else ordering.best_order(adj, a.order)
+    if a.refine_iters and not a.no_refine:
         price = costmodel.cost_function(profiles.read_model(a.model)) if a.model else (lambda g, o: ordering.proxy_cost(g, o, a.expand_base, a.density_alpha, a.spike_penalty, a.bound))
-        order = ordering.anneal(adj, order, a.refine_iters, a.seed, price, a.schedule, restarts=a.restarts, factor=a.restart_factor, bound=a.bound)[0]
+        order = ordering.anneal(adj, order, a.refine_iters, a.seed, price, a.schedule, a.sa_t_start, a.sa_t_end, restarts=a.restarts, factor=a.restart_factor, bound=a.bound)[0]
     return order
 
 
@@ -100,10 +104,7 @@ def _count(spark: SparkSession, a: argparse.Namespace) -> None:
         got = frontier.count(spark, adj, order, a.form, checkpoint=a.checkpoint, every=a.checkpoint_every)
         print(summary_line(label, got, ordered - t, time.perf_counter() - ordered, a.cycles), flush=True)
         if a.profile:
-            from pyspark.sql import functions as F
-
-            steps = frontier.step_table(spark, got).withColumns({"e_bag": F.lit(None).cast("int"), "step_ms": F.lit(0.0), "cumul_ms": F.lit(0.0), "backend": F.lit(None).cast("string")})
-            profiles.write_profile(steps, a.profile)
+            profiles.write_profile(frontier.profile_table(spark, adj, order, got), a.profile)
 
 
 def _estimate(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -344,6 +345,7 @@ class Counted:
     max_fw: int
     profile: int
     steps: list[tuple]  # k, vertex, width, back edges, states in, states out
+    ms: tuple[float, ...] = ()  # of each step; 0 for those that a checkpoint spared
 
 
 def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None, form: str = "auto", local_rows: int = 200_000, prune: bool = True, checkpoint: str | None = None, every: int = 5, step_limit: int | None = None) -> Counted:
@@ -369,8 +371,9 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
         df, first, cycles, seen = got
         own, first = None, first + 1
         seen = [tuple(x) for x in seen]
-    n, held = seen[-1][5] if seen else 1, []
+    n, held, ms = seen[-1][5] if seen else 1, [], [0.0] * len(seen)
     for step in plan[first : step_limit]:
+        begun = time.perf_counter()
         if df is None and form == "auto" and len(own) > local_rows:
             df, own = _spread(spark, own, spread), None
         if df is None:
@@ -399,6 +402,7 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
                 old.unpersist()
             del held[:-1]
         seen.append((step.k, step.vertex, step.width, len(step.back), n, out))
+        ms.append(1000 * (time.perf_counter() - begun))
         if df is not None and write:
             saved.name(spark, step.k, cycles, seen)
         n = out
@@ -408,7 +412,7 @@ def count(spark: SparkSession, adj: O.Adjacency, order: list[int] | None = None,
         paths = int(df.where("nc = 1").agg(F.sum("cnt")).first()[0] or 0)
         for old in held:
             old.unpersist()
-    return Counted(paths, cycles, top, profile, seen)
+    return Counted(paths, cycles, top, profile, seen, tuple(ms))
 
 
 def _spread(spark: SparkSession, s: States, form: str) -> DataFrame:
@@ -425,3 +429,16 @@ def _spread(spark: SparkSession, s: States, form: str) -> DataFrame:
 def step_table(spark: SparkSession, counted: Counted) -> DataFrame:
     """The profile of a run: one row a step."""
     return spark.createDataFrame(counted.steps, "step int, vertex int, fs int, n_back int, states_in bigint, states_out bigint")
+
+
+def profile_table(spark: SparkSession, adj: O.Adjacency, order: list[int], counted: Counted) -> DataFrame:
+    """The profile of a run of this order as logs have it: with times, the frontier that a step leaves (``bag``), its size
+    (``fs``) and the number of edges inside it (``e_bag``)."""
+    last, bag, rows, total = O.last_steps(adj, order), [], [], 0.0
+    for (k, vertex, _, back, before, after), ms in zip(counted.steps, counted.ms, strict=True):
+        bag = [(v, end) for v, end in [*bag, (vertex, last[k])] if end > k]
+        inside = {v for v, _ in bag}
+        edges = sum(len(inside.intersection(adj[v])) for v in inside) // 2
+        total += ms
+        rows.append((k, vertex, len(bag), back, edges, before, after, ms, total, [v for v, _ in bag]))
+    return spark.createDataFrame(rows, "step int, vertex int, fs int, n_back int, e_bag int, states_in bigint, states_out bigint, step_ms double, cumul_ms double, bag array<int>")

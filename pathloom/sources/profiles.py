@@ -56,9 +56,11 @@ def best_per_n(profiles: DataFrame) -> DataFrame:
 
 
 def profile_lines(steps: DataFrame) -> DataFrame:
-    """(step, line) in the nine-field form."""
+    """(step, line) in the nine-field form, with the vertices of ``bag`` where the steps have it."""
+    bag = F.concat(F.lit("{"), F.array_join("bag", ","), F.lit("}")) if "bag" in steps.columns else F.lit("{}")
+    backend = F.coalesce("backend", F.lit("sm")) if "backend" in steps.columns else F.lit("sm")
     cells = ["step", "vertex", "fs", "n_back", F.coalesce("e_bag", F.lit(0)), "states_in", "states_out", F.format_string("%.3f", "step_ms"), F.format_string("%.3f", "cumul_ms")]
-    return steps.select("step", F.concat(F.concat_ws(" ", *cells), F.lit(" {} ["), F.coalesce("backend", F.lit("sm")), F.lit("]")).alias("line"))
+    return steps.select("step", F.concat(F.concat_ws(" ", *cells, bag), F.lit(" ["), backend, F.lit("]")).alias("line"))
 
 
 def write_profile(steps: DataFrame, path: str) -> None:

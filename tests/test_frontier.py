@@ -4,7 +4,7 @@ import random
 import pytest
 
 from pathloom.operators import frontier as D, ordering as O
-from pathloom.sources import graphs as G
+from pathloom.sources import graphs as G, profiles as P
 
 
 def brute(adj):
@@ -95,3 +95,20 @@ def test_ordering_of_a_run(spark):
     adj = G.square_sum(spark, 20).local()
     steps = D.step_table(spark, D.count(spark, adj, O.best_bfs(adj)))
     assert steps.count() == 20
+
+
+def test_profile_of_a_run(spark, tmp_path):
+    """What a run writes parses back with times, bags' edges and sizes as counted by hand."""
+    adj = G.square_sum(spark, 25).local()
+    order = O.best_bfs(adj)
+    got = D.count(spark, adj, order)
+    P.write_profile(D.profile_table(spark, adj, order, got), str(tmp_path / "log"))
+    texts = spark.read.text(str(tmp_path / "log"), wholetext=True).selectExpr("'profile_25.txt' as name", "value as text")
+    rows = P.parse_steps(texts).orderBy("step").collect()
+    assert [(r.step, r.vertex, r.n_back, r.states_in, r.states_out) for r in rows] == [(k, v, back, a, b) for k, v, _, back, a, b in got.steps]
+    for r in rows:
+        done, ahead = set(order[: r.step + 1]), set(order[r.step + 1 :])
+        bag = {v for v in done if ahead.intersection(adj[v])}
+        assert r.fs == len(bag) and r.e_bag == sum(v < w for v in bag for w in adj[v] if w in bag)
+    assert all(r.step_ms >= 0 for r in rows) and abs(rows[-1].cumul_ms - sum(got.ms)) < 0.1
+    assert sum(got.ms) > 0

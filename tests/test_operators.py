@@ -135,9 +135,10 @@ def test_cli_parses_and_counts(spark, capsys, tmp_path):
     from pathloom import cli
 
     (tmp_path / "c").write_text("start: 25\ncycles: true\nnonsense: 1\n")
-    cli.main(["--config", str(tmp_path / "c"), "count"])
+    cli.main(["--config", str(tmp_path / "c"), "count", "--no-pw", "--refine-iters", "50", "--sa-t-start", "5", "--sa-t-end", "0.1", "--profile", str(tmp_path / "log")])
     got = capsys.readouterr()
     assert "ham_paths=10" in got.out and "ham_cycles=0" in got.out and "nonsense" in got.err
+    assert spark.read.text(str(tmp_path / "log")).where("value rlike '[{][0-9,]+[}] .sm.$'").count() == 24  # the last step leaves none
 
 
 @pytest.mark.parametrize("name", ["ham_paths_nation", "edges_nation", "degree_stats", "canonical_states"])
