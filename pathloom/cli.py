@@ -82,7 +82,7 @@ def order_for(spark: SparkSession, adj: ordering.Adjacency, a: argparse.Namespac
     """The order that the options ask for: a method, refined by annealing, or the best of many starts."""
     if a.multi_start:
         validate = (lambda o: sum(s[5] for s in frontier.count(spark, adj, o, "local", step_limit=a.validate).steps)) if a.validate else None
-        return ordering.multi_start(adj, a.multi_start, a.refine_iters or 2000, a.seed, validate)
+        return ordering.multi_start(spark, adj, a.multi_start, a.refine_iters or 2000, a.seed, validate)
     order = ordering.best_bfs(adj) if a.no_pw else ordering.best_order(adj, a.order)
     if a.refine_iters and not a.no_refine:
         price = costmodel.cost_function(profiles.read_model(a.model)) if a.model else (lambda g, o: ordering.proxy_cost(g, o, a.expand_base, a.density_alpha, a.spike_penalty, a.bound))

@@ -112,3 +112,11 @@ def test_profile_of_a_run(spark, tmp_path):
         assert r.fs == len(bag) and r.e_bag == sum(v < w for v in bag for w in adj[v] if w in bag)
     assert all(r.step_ms >= 0 for r in rows) and abs(rows[-1].cumul_ms - sum(got.ms)) < 0.1
     assert sum(got.ms) > 0
+
+
+def test_multi_start_in_parallel(spark):
+    adj = G.square_sum(spark, 15).local()
+    starts = sorted((O.bfs(adj, s) for s in adj), key=lambda o: O.frontier_stats(adj, o))[:4]
+    serial = sorted((O.anneal(adj, o, 100, 3 + i)[::2] for i, o in enumerate(starts)), key=lambda x: x[1])
+    assert O.multi_start(spark, adj, 4, 100, 3) == serial[0][0]
+    assert O.multi_start(spark, adj, 4, 100, 3, validate=lambda o: -O.frontier_stats(adj, o)[1]) == max((o for o, _ in serial), key=lambda o: O.frontier_stats(adj, o)[1])
