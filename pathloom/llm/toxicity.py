@@ -9,8 +9,9 @@ broken or misspelt insults stay near it, and so do insults of several words.
 A sentence is read as all windows of 7 to 12 places (WIDTHS) over its characters (runs of
 single characters are joined first); it is as toxic as its worst window, a
 document as the number of its windows near insults (worst ones of neighbours). Only documents are labelled, so labels are passed
-to windows in rounds: at first by the odds of every subsequence in toxic and
-clean training documents, then by the last round's SVM. Each round a document's
+to windows in rounds: at first by the words and beginnings of words that explain
+toxic training documents (``cover``; without one by the odds of every
+subsequence in toxic and clean ones), then by the last round's SVM. Each round a document's
 worst windows stand for it (of a clean document they are those that break the
 margin; others have no loss) beside evenly drawn ones, and the SVM is fitted
 again. Nystroem features are kernels with landmark windows, whitened; the SVM
@@ -33,9 +34,11 @@ its new columns' names; ``toxicity`` returns its own columns only.
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -59,6 +62,11 @@ STANDING = 3  # a document's worst windows that train
 THRESHOLD = 0.7
 NEAR = 0.3  # a window's decision value from which it begins to count
 TOXIC_SHARE = 0.4
+STEMS = (4, 5, 6, 7)  # letters of a word's beginnings
+LEAST = 3  # toxic documents that a word or beginning must explain
+ODDS = 2.5  # and its log odds against clean ones
+COMMON = 0.02  # share of the toxic documents from which it trains though others explain them
+BESIDE = 0.9  # unless in this share of them one other part stands too
 STEPS = [x for n in (2, 3) for x in combinations(range(1, SPAN), n)]  # the other letters' places after the first
 STOP = "\x01" * SPAN  # no subsequence reaches over it
 GAP = "\x01" * max(WIDTHS)  # and over this no window
@@ -203,6 +211,54 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, flo
     return float(w[0]), float(w[1])
 
 
+def parts(text: str) -> set[str]:
+    """A text's words, a blank behind each, and the beginnings of words (STEMS)."""
+    words = set(tokens(text))
+    found = {f"{w} " for w in words if len(w) <= PLACES - 2}
+    for n in STEMS:
+        found.update(w[:n] for w in words if len(w) > n)
+    return found
+
+
+def cover(found: list[list[str]], expected: dict[str, float]) -> list[tuple[str, int]]:
+    """Parts that explain toxic documents, and how many they are in: always the one that explains most of those left.
+
+    ``found`` has each toxic document's likely parts, ``expected`` how many toxic documents would have a part by chance.
+    What stands in toxic documents beside an insult only explains none that are left, so the words that a large sample
+    shows in a few toxic documents by chance, or in copies of one, are not taken. Parts in COMMON of these documents
+    follow, unless they stand beside one taken before nearly always.
+    """
+    having: dict[str, list[int]] = {}
+    for i, own in enumerate(found):
+        for part in own:
+            having.setdefault(part, []).append(i)
+    left = np.ones(len(found), bool)
+
+    def rank(part: str) -> tuple[float, int, str]:
+        return math.exp(ODDS) * expected[part] - left[having[part]].sum(), -len(part), part
+
+    heap, out = [rank(part) for part in having], []
+    heapq.heapify(heap)
+    while heap:
+        part = heapq.heappop(heap)[2]
+        now = rank(part)
+        if heap and now > heap[0]:
+            if now[0] < 0:
+                heapq.heappush(heap, now)
+            continue
+        if left[having[part]].sum() >= LEAST and now[0] < 0:
+            out.append(part)
+            left[having[part]] = False
+    taken = [set(having[part]) for part in out]
+    common = [part for part, own in having.items() if len(own) >= max(LEAST, COMMON * len(found), math.exp(ODDS) * expected[part])]
+    for part in sorted(common, key=lambda part: (-len(having[part]), -len(part), part)):
+        own = set(having[part])
+        if all(len(own & other) < BESIDE * len(own) for other in taken):
+            out.append(part)
+            taken.append(own)
+    return [(part, len(having[part])) for part in out]
+
+
 def _lone(texts: list[str]) -> np.ndarray:
     """Whether three lone characters follow one another anywhere in a text, as SPACED needs it."""
     blank = _blank[np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -375,33 +431,41 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Scorer:
         key = np.nonzero(found.any(0))[0]
         yield pd.DataFrame({"key": key, "toxic": found[1, key], "clean": found[0, key]})
 
-    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, list[int]] = {}
         for frame in frames:
             for text, label in zip(frame["text"], frame["label"], strict=True):
-                for w in {w for w in tokens(text) if len(w) <= PLACES - 2}:
-                    found.setdefault(w, [0, 0])[label] += 1
+                for part in parts(text):
+                    found.setdefault(part, [0, 0])[label] += 1
         n = np.array(list(found.values()), np.int64).reshape(-1, 2)
-        yield pd.DataFrame({"word": pd.Series(list(found), dtype="object"), "toxic": n[:, 1], "clean": n[:, 0]})
-
-    # Whole words that toxic documents have and clean ones hardly train beside the windows, each as it stands and broken by
-    # a blank; those longer than a window train through their windows alone.
-    seen = sample.mapInPandas(words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = f"ln((toxic + 0.1) / (clean * {sizes[1] / sizes[0]} + 0.1)) > 2.5"
-    seeds = seen.where(f"toxic >= 3 and {odds}").toPandas().sort_values(["toxic", "word"], ascending=[False, True], ignore_index=True)
-    whole = [f" {w} " for w in seeds["word"]]
+        yield pd.DataFrame({"part": pd.Series(list(found), dtype="object"), "toxic": n[:, 1], "clean": n[:, 0]})
+
+    # Words and beginnings of words that explain toxic documents train beside the windows, each as it stands and broken by a
+    # blank; those longer than a window train through their windows alone.
+    seen = sample.mapInPandas(count_parts, "part string, toxic long, clean long").groupBy("part").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    odds = f"ln((toxic + 0.1) / (clean * {sizes[1] / sizes[0]} + 0.1)) > {ODDS}"
+    likely = seen.where(f"toxic >= {LEAST} and {odds}").toPandas()
+    expected = dict(zip(likely["part"], likely["clean"] * (sizes[1] / sizes[0]), strict=True))
+
+    def found_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"parts": ["\n".join(expected.keys() & parts(text)) for text in frame["text"]]})
+
+    found = sample.where("label = 1").select("text").mapInPandas(found_parts, "parts string").toPandas()
+    seeds = cover([x.split("\n") for x in found["parts"] if x], expected)
+    whole = [f" {part}" for part, _ in seeds]
     broken = [f"{w[: len(w) // 2]} {w[len(w) // 2 :]}" for w in whole]
-    known = seeds["toxic"].to_numpy(float) ** 0.5
+    known = np.array([n for _, n in seeds], float) ** 0.5
     counts = sample.mapInPandas(distinct, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # The less is known of a subsequence the nearer to 0.
     odds = f"(ln((toxic + 1) / {sizes[1] + 2}) - ln((clean + 1) / {sizes[0] + 2})) * sqrt(toxic / (toxic + 3))"
     counts = counts.where("toxic > 0").select(F.col("key").cast("int").alias("key"), F.expr(odds).cast("float").alias("odds")).toArrow()
     table = np.zeros(TABLE, np.float32)
     table[counts.column("key").to_numpy()] = counts.column("odds").to_numpy()
-    del counts, seen, seeds
+    del counts, seen, likely, expected, found
     bias, before = 0.0, None
-    for _ in range(ROUNDS):
-        got = _standing(sample, table, bias)
+    for i in range(ROUNDS):
+        got = _standing(sample, table, bias, () if i else [part for part, _ in seeds])
         # Clean windows that broke an earlier round's margin stay.
         before = got = pd.concat([got, *([] if before is None else [before[before["kind"] == 0]])]).drop_duplicates().sort_values(["kind", "window"], ignore_index=True)
         bad, ok = (got[got["kind"] == k] for k in (1, 0))
@@ -435,8 +499,19 @@ def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Scorer:
     return plain
 
 
-def _standing(sample: DataFrame, table: np.ndarray, bias: float) -> pd.DataFrame:
-    """(window, kind) of the windows that stand for the sample's documents, in order of their text: the worst of each, and as many evenly drawn ones of clean documents."""
+def _both(window: str, i: int, label: int) -> list[tuple[str, int]]:
+    """A window as it stands, and with a blank put into it: what is broken by one is as toxic."""
+    w = window.strip("\x01")
+    k = 2 + i % max(1, len(w) - 3)
+    return [(w, label), (f"{w[:k]} {w[k:]}", label)]
+
+
+def _standing(sample: DataFrame, table: np.ndarray, bias: float, known: Iterable[str] = ()) -> pd.DataFrame:
+    """(window, kind) of the windows that stand for the sample's documents, in order of their text: the worst of each, and as many evenly drawn ones of clean documents.
+
+    A toxic document with any of the ``known`` parts is stood for by the windows that begin with the first of them.
+    """
+    known = re.compile(f" (?={'|'.join(map(re.escape, known))})") if known else None
 
     def stand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -445,6 +520,10 @@ def _standing(sample: DataFrame, table: np.ndarray, bias: float) -> pd.DataFrame
                 own = sentences([text])[0]
                 if not own:
                     continue
+                if label and known and (at := [x.start() for x in islice(known.finditer(own), STANDING)]):
+                    for i in at:
+                        rows += _both(own[i : i + WIDTHS[i % len(WIDTHS)]], i, label)
+                    continue
                 v, width = window_scores(letters(own), table, bias, np.inf)
                 at = worst_places(v)
                 worst = at[np.argsort(-v[at], kind="stable")[:STANDING]]
@@ -453,10 +532,7 @@ def _standing(sample: DataFrame, table: np.ndarray, bias: float) -> pd.DataFrame
                 else:
                     worst = np.unique(np.r_[worst, at[:: max(1, len(at) // STANDING)][:STANDING]])
                 for i in worst.tolist():
-                    w = own[i : i + width[i]].strip("\x01")
-                    # As it stands, and with a blank put into it: what is broken by one is as toxic.
-                    k = 2 + i % max(1, len(w) - 3)
-                    rows += [(w, label), (f"{w[:k]} {w[k:]}", label)]
+                    rows += _both(own[i : i + width[i]], i, label)
             yield pd.DataFrame(rows, columns=["window", "kind"])
 
     got = sample.mapInPandas(stand, "window string, kind int").toPandas()

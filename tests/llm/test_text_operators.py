@@ -190,6 +190,42 @@ def test_toxicity_of_insults_broken_by_a_blank(spark):
     assert (scorer(texts) >= toxicity.THRESHOLD).mean() > 0.5
 
 
+def test_toxicity_among_copies(spark):
+    """Words that stand in a few toxic documents only because those are copies of one another drown no insult, however many."""
+    import random
+
+    from pathloom.llm.store import cut
+
+    rng = random.Random(3)
+    parts = "an the on er in th ed ing tion ou re ha es or at en nd st ea ti".split()
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+    insults = ["idiot", "moron", "clown", "stupid", "pathetic", "worthless"]
+
+    def put(words, k):
+        words = list(words)
+        for w in rng.sample(insults, k):
+            words.insert(rng.randrange(len(words) + 1), w)
+        return " ".join(words)
+
+    rows = []
+    for _ in range(300):
+        words = [word() for _ in range(60)]
+        rows += [(put(words, rng.randint(1, 2)), 1) for _ in range(4)]
+    rows += [(" ".join(word() for _ in range(60)), 0) for _ in range(1200)]
+    scorer = toxicity.fit(cut(spark.createDataFrame(rows, "text string, label int").repartition(8)))
+    toxic, clean = (scorer([put([word() for _ in range(60)], k) for _ in range(200)]) >= toxicity.THRESHOLD for k in (1, 0))
+    assert toxic.mean() > 0.9 and clean.mean() < 0.05
+
+
+def test_parts_that_explain_documents():
+    """The parts that explain most, those common by themselves, but none that stands beside another only."""
+    found = [["idiot ", "moron ", "x "]] * 30 + [["moron "]] * 40 + [["idiot "]] * 40 + [["y "]] * 2
+    assert toxicity.cover(found, dict.fromkeys(["idiot ", "moron ", "x ", "y "], 0.0)) == [("idiot ", 70), ("moron ", 70)]
+    assert toxicity.cover([], {}) == []
+    assert toxicity.cover([["z "]] * 5, {"z ": 1.0}) == []
+    assert toxicity.parts("You worthless, a") == {"you ", "worthless, ", "a ", "wort", "worth", "worthl", "worthle"}
+
+
 # SentencePiece -------------------------------------------------------------------------------------------------------------
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
